@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, counting, exact, mixing, packing, quality, urlfilter, warczip
+from . import bestfit, counting, dart, exact, mixing, packing, quality, urlfilter, warczip
 from .common import documents, pages
 
 
@@ -42,6 +42,10 @@ def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.round_trip(pages(spark, sf_dir))
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart.near_classes(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
