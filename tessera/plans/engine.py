@@ -38,9 +38,10 @@ class CommandMetrics:
 
 
 def split_script(text: str) -> list[str]:
-    """Statements between semicolons outside of quotes and comments."""
-    out, part, i = [], "", 0
+    """Statements between semicolons outside of quotes, comments and braces."""
+    out, part, i, depth = [], "", 0, 0
     while i < len(text):
+        depth += (text[i] == "{") - (text[i] == "}")
         if text[i] == "'":
             end = i + 1
             while end < len(text) and (text[end] != "'" or text[end : end + 2] == "''"):
@@ -51,7 +52,7 @@ def split_script(text: str) -> list[str]:
         elif text.startswith("/*", i):
             end = text.find("*/", i)
             i = len(text) if end < 0 else end + 2
-        elif text[i] == ";":
+        elif text[i] == ";" and not depth:
             out, part, i = [*out, part], "", i + 1
         else:
             part, i = part + text[i], i + 1
