@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, scratch, small_batches, to_batch
-from .tokenizing import DEFAULT, Encoder, library
+from .tokenizing import DEFAULT, library, worker_encoder
 
 
 class Rooms:
@@ -98,7 +98,7 @@ def write_packed(docs: DataFrame, out: str, tokenizer: str = DEFAULT, capacity:
     def work(batches):
         from pyspark import TaskContext
 
-        task, encoder, held, size, k = TaskContext.get(), Encoder(tokenizer), [], 0, 0
+        task, encoder, held, size, k = TaskContext.get(), worker_encoder(tokenizer), [], 0, 0
 
         def flush():
             data, n = packed(held, capacity, kind)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, to_batch
-from .tokenizing import DEFAULT, Encoder, library
+from .tokenizing import DEFAULT, library, worker_encoder
 
 
 def frequent_counts(docs: DataFrame, tokenizer: str = DEFAULT, size: int = 65_536, sample: int = 2_000) -> dict[str, int]:
@@ -47,7 +47,7 @@ def token_counts(docs: DataFrame, tokenizer: str = DEFAULT, limit: int = 1024) -
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def count(batches):
-        encoder = Encoder(tokenizer, count=True, frequent=table.value)
+        encoder = worker_encoder(tokenizer, True, table.value)
         for b in batches:
             n = [encoder.of(t) for t in b.column(1).to_pylist()]
             yield to_batch(schema, {"doc_id": b.column(0), "n_bytes": b.column(2), "n_tokens": n, "over_limit": [x > limit for x in n]})

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ranked, saved, small_batches, to_batch
-from .tokenizing import DEFAULT, Encoder
+from .tokenizing import DEFAULT, worker_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str = DEFAULT, capacity: int = 2048, end_
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -15,8 +15,8 @@ from functools import cache
 import numpy as np
 
 DEFAULT = "byte_bpe_50k.json"
-#: Entries of a worker's cache; it is emptied when full.
-CACHE = 250_000
+#: Entries of a worker's cache (some 250 MB); it is emptied when full.
+CACHE = 1_000_000
 _odd = re.compile(r" \s|\s ")
 _bound = re.compile(r"(?<!\s) (?!\s)")
 
@@ -65,3 +65,15 @@ class Encoder:
                 self.cache = dict(self.frequent)
             self.cache.update(x for x in fresh.items() if len(x[0]) < 64)
         return sum(first) + sum(found) if self.count else b"".join(first + found)
+
+
+_kept: dict = {}
+
+
+def worker_encoder(name: str = DEFAULT, count: bool = False, frequent: dict[str, int] | None = None) -> Encoder:
+    """The worker process's encoder: its cache lasts from task to task.  One at a time is kept."""
+    key = (name, count)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Encoder(name, count, frequent)
+    return _kept[key]
