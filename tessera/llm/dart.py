@@ -7,8 +7,9 @@ Two texts agree in a coordinate with probability equal to their weighted Jaccard
 give buckets; what meets in a bucket is verified on whole texts.
 
 Equal texts are one vertex from the start.  Within a bucket no pairs are listed: its members are compared with a hub,
-those that match join the hub's component, and only buckets that still hold several components go on, with four times
-as many further hubs each round, until every member not in one component has been compared.  A link between two
+those that match join the hub's component, and only buckets that still hold several components go on, with eight times
+as many further hubs each round, until every member not in one component has been compared.  From the second round
+on, members that meet in several buckets meet in the first of them only.  A link between two
 components can so never be lost to a group's size, and a group of thousands of alike texts is done after one round.
 
 Defined results: texts are equal if their words are, so a null text equals one without words; a text of fewer than five
@@ -144,13 +145,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -
 
 def components(edges: DataFrame) -> DataFrame:
     """u, label (the smallest vertex of its component) by large-star and small-star rounds over (u, v)."""
-
-    def mark(e):
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")).first()
-        return r.n, r.s
-
-    edges = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    before = mark(edges)
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -158,10 +153,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = saved(small.filter("u <> v").distinct(), "small")
-        now = mark(edges)
-        if now == before:
-            return edges.groupBy("u").agg(F.min("v").alias("label"))
-        before = now
+        # done once each vertex has one edge, to a vertex without a smaller one
+        several = edges.groupBy("u").count().filter("count > 1").select("u")
+        middle = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+        if several.unionByName(middle).isEmpty():
+            return edges.withColumnRenamed("v", "label")
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
@@ -170,12 +166,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     n_rows = signed.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "hash"))
     groups = saved(signed.groupBy("content").agg(first.alias("f"), F.count("*").alias("copies")).select("content", F.col("f.row").alias("v"), F.col("f.doc_id").alias("first_id"), F.col("f.hash").alias("hash"), "copies"), "contents")
-    keyed = signed.select("row", "weight", F.explode("bands").alias("key")).join(groups.select(F.col("v").alias("row")), "row", "left_semi").select("key", F.col("row").alias("v"), "weight")
+    keyed = signed.select("row", "weight", F.posexplode("bands").alias("band", "key")).join(groups.select(F.col("v").alias("row")), "row", "left_semi").select("key", "band", F.col("row").alias("v"), "weight")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("weight").alias("least"), F.max("weight").alias("most")).filter("n > 1")
     buckets = saved(buckets.filter(F.col("most") > 0).select("key"), "buckets")
     members = saved(keyed.join(buckets, "key").withColumn("label", F.col("v")), "members")
     involved = groups.join(members.select("v").distinct(), "v", "left_semi").select("v", F.col("first_id").alias("__id"), F.col("hash").alias("__hash"))
     texts = saved(docs.join(involved, docs["doc_id"].eqNullSafe(involved["__id"]) & (F.xxhash64("text") == involved["__hash"])).select("v", "text").dropDuplicates(["v"]), "texts")
+    all_bands = signed.select(F.col("row").alias("v"), "bands")
     labels, links, tested, hubs = None, [], None, 1
     while True:
         # a bucket is open while its members are of several components
@@ -186,8 +183,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
         order = F.col("v") if hubs == 1 else F.xxhash64(F.lit(hubs), "v")
         part = F.pmod(F.xxhash64(F.lit(-hubs), "v"), F.lit(hubs))
         chosen = saved(members.groupBy("key", part.alias("part")).agg(F.min(F.struct(order.alias("o"), "v", "weight", "label")).alias("h")).select("key", F.col("h.v").alias("b"), F.col("h.weight").alias("hub_weight"), F.col("h.label").alias("hub_label")), "hubs")
+        met = members
+        first_meeting = F.lit(True)
+        if hubs > 1:
+            met = members.join(all_bands, "v")
+            chosen = saved(chosen.join(all_bands.select(F.col("v").alias("b"), F.col("bands").alias("hub_bands")), "b"), "hubs")
+            first_meeting = F.expr("not exists(sequence(0, band), i -> i < band and bands[i] = hub_bands[i])")
         near = F.least("weight", "hub_weight") >= threshold * F.greatest("weight", "hub_weight") - 1e-9
-        pairs = members.join(chosen, "key").filter((F.col("label") != F.col("hub_label")) & near).select(F.col("v").alias("a"), "b").distinct()
+        pairs = met.join(chosen, "key").filter((F.col("label") != F.col("hub_label")) & near & first_meeting).select(F.col("v").alias("a"), "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
@@ -211,8 +214,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
                 labels = old.unionByName(merged.join(labels, "u", "left_anti"))
             labels = saved(labels, "labels")
             now = labels.select(F.col("u").alias("v"), F.col("label").alias("now"))
-            members = members.join(now, "v", "left").select("key", "v", "weight", F.coalesce("now", "label").alias("label"))
-        hubs *= 4
+            members = members.join(now, "v", "left").select("key", "band", "v", "weight", F.coalesce("now", "label").alias("label"))
+        hubs *= 8
     classes = groups
     if links:
         all_links = links[0]
