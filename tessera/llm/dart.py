@@ -7,10 +7,14 @@ Two texts agree in a coordinate with probability equal to their weighted Jaccard
 give buckets; what meets in a bucket is verified on whole texts.
 
 Equal texts are one vertex from the start.  Within a bucket no pairs are listed: its members are compared with a hub,
-those that match join the hub's component, and only buckets that still hold several components go on, with eight times
-as many further hubs each round, until every member not in one component has been compared.  From the second round
-on, members that meet in several buckets meet in the first of them only.  A link between two
-components can so never be lost to a group's size, and a group of thousands of alike texts is done after one round.
+those that match join the hub's component, and only buckets that still hold several components go on, with sixteen
+times as many further hubs each round, until every member not in one component has been compared.  From the second
+round on, members that meet in several buckets meet in the first of them only, and are verified only if their sketches
+(SKETCH_BITS of each coordinate) differ in no more bits than those of a pair at the threshold may, MARGIN standard
+deviations included.  That loses such a pair with probability 0.0014, less than the bands do, and more similar ones
+ever more rarely.  A link between two components can so never be lost to a group's size, and a group of thousands of
+alike texts is done after one round.  What stays quadratic is the number of sketches that are compared in a bucket
+of many texts that are near each other, but below the threshold.
 
 Defined results: texts are equal if their words are, so a null text equals one without words; a text of fewer than five
 words is one shingle; a class is a connected component of links (similarity >= threshold), named by its smallest doc_id
@@ -25,12 +29,13 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, attach, mixed, saved, small_batches, to_batch
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 8
+SKETCH_BITS, MARGIN = 4, 3.0
 U = np.uint64
 
 
@@ -96,24 +101,40 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed(part + np.arange(bands, dtype=U) * U(0xE7037ED1A0B428DB)).view(np.int64)
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """The lowest SKETCH_BITS bits of each coordinate, packed into 64-bit integers (the last one padded)."""
+    bits = (mixed(signature)[:, None] >> np.arange(SKETCH_BITS, dtype=U) & U(1)).astype(np.uint8).ravel()
+    return np.packbits(np.pad(bits, (0, -len(bits) % 64))).view(np.int64)
+
+
+def alike(a: str, b: str, threshold: float, coordinates: int) -> Column:
+    """Whether two sketches may be of a pair at the threshold: each coordinate that differs has half its bits different."""
+    deviation = ((threshold * (1 - threshold) + (1 - threshold) / SKETCH_BITS) / coordinates) ** 0.5
+    most = int(coordinates * SKETCH_BITS * (1 - threshold + MARGIN * deviation) / 2)
+    differ = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(-(-coordinates * SKETCH_BITS // 64)))
+    return F.expr(f"{differ} <= {most}")
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """doc_id, hash (of the text as it is), content (of its words), weight (shingles), bands."""
+    """doc_id, hash (of the text as it is), content (of its words), weight (shingles), bands, sketch."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("content", pa.binary()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("content", pa.binary()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def work(batches):
         shingles, darts = Shingles(words), DartMinHash(bands * rows)
         for b in batches:
-            content, weight, keys = [], [], []
+            content, weight, keys, sketches = [], [], [], []
             for text in b.column(2).to_pylist():
                 normal = shingles.normal(text)
                 h, n = shingles.of(normal)
                 content.append(xxhash.xxh3_128_digest(normal))
                 weight.append(int(n.sum()))
-                keys.append(band_keys(darts.signature(h, n.astype(float)), bands, rows) if len(h) else [])
-            yield to_batch(schema, {"doc_id": b.column(0), "hash": b.column(1), "content": content, "weight": weight, "bands": keys})
+                signature = darts.signature(h, n.astype(float)) if len(h) else None
+                keys.append([] if signature is None else band_keys(signature, bands, rows))
+                sketches.append([] if signature is None else sketch(signature))
+            yield to_batch(schema, {"doc_id": b.column(0), "hash": b.column(1), "content": content, "weight": weight, "bands": keys, "sketch": sketches})
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text").mapInArrow(work, "doc_id long, hash long, content binary, weight long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text").mapInArrow(work, "doc_id long, hash long, content binary, weight long, bands array<long>, sketch array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
@@ -172,7 +193,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     members = saved(keyed.join(buckets, "key").withColumn("label", F.col("v")), "members")
     involved = groups.join(members.select("v").distinct(), "v", "left_semi").select("v", F.col("first_id").alias("__id"), F.col("hash").alias("__hash"))
     texts = saved(docs.join(involved, docs["doc_id"].eqNullSafe(involved["__id"]) & (F.xxhash64("text") == involved["__hash"])).select("v", "text").dropDuplicates(["v"]), "texts")
-    all_bands = signed.select(F.col("row").alias("v"), "bands")
+    marks = signed.select(F.col("row").alias("v"), "bands", "sketch")
     labels, links, tested, hubs = None, [], None, 1
     while True:
         # a bucket is open while its members are of several components
@@ -183,14 +204,16 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
         order = F.col("v") if hubs == 1 else F.xxhash64(F.lit(hubs), "v")
         part = F.pmod(F.xxhash64(F.lit(-hubs), "v"), F.lit(hubs))
         chosen = saved(members.groupBy("key", part.alias("part")).agg(F.min(F.struct(order.alias("o"), "v", "weight", "label")).alias("h")).select("key", F.col("h.v").alias("b"), F.col("h.weight").alias("hub_weight"), F.col("h.label").alias("hub_label")), "hubs")
-        met = members
-        first_meeting = F.lit(True)
+        # two hubs of a bucket meet once
+        met = saved(members.join(chosen.select("key", F.col("b").alias("v"), F.lit(True).alias("hub")), ["key", "v"], "left"), "met")
+        members = met.filter("hub is null").drop("hub")
+        facing, meets = chosen, F.lit(True)
         if hubs > 1:
-            met = members.join(all_bands, "v")
-            chosen = saved(chosen.join(all_bands.select(F.col("v").alias("b"), F.col("bands").alias("hub_bands")), "b"), "hubs")
-            first_meeting = F.expr("not exists(sequence(0, band), i -> i < band and bands[i] = hub_bands[i])")
+            met = met.join(marks, "v")
+            facing = chosen.join(marks.select(F.col("v").alias("b"), F.col("bands").alias("hub_bands"), F.col("sketch").alias("hub_sketch")), "b")
+            meets = alike("sketch", "hub_sketch", threshold, bands * rows) & F.expr("not exists(sequence(0, band), i -> i < band and bands[i] = hub_bands[i])")
         near = F.least("weight", "hub_weight") >= threshold * F.greatest("weight", "hub_weight") - 1e-9
-        pairs = met.join(chosen, "key").filter((F.col("label") != F.col("hub_label")) & near & first_meeting).select(F.col("v").alias("a"), "b").distinct()
+        pairs = met.join(facing, "key").filter((F.col("label") != F.col("hub_label")) & (F.col("hub").isNull() | (F.col("v") < F.col("b"))) & near & meets).select(F.col("v").alias("a"), "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
@@ -198,7 +221,6 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
         tested = tested.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         found = saved(verified(pairs, texts, threshold, words), "links")
         links.append(found)
-        members = members.join(chosen.select("key", F.col("b").alias("v")), ["key", "v"], "left_anti")
         if not found.isEmpty():
             named = found
             if labels is not None:
@@ -215,7 +237,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
             labels = saved(labels, "labels")
             now = labels.select(F.col("u").alias("v"), F.col("label").alias("now"))
             members = members.join(now, "v", "left").select("key", "band", "v", "weight", F.coalesce("now", "label").alias("label"))
-        hubs *= 8
+        hubs *= 16
     classes = groups
     if links:
         all_links = links[0]
