@@ -13,6 +13,7 @@ further columns are not read.
 from __future__ import annotations
 
 import io
+import math
 import os
 import zlib
 
@@ -25,6 +26,10 @@ from .common import saved, scratch, small_batches, to_batch
 from .tokenizing import DEFAULT, library, worker_encoder
 
 
+#: Files that a task reads back, one after the other.
+FILES_A_TASK = 8
+
+
 class Rooms:
     """A segment tree over room sizes that counts the sequences with each; finds the least room of at least n."""
 
@@ -165,7 +170,7 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                 yield to_batch(schema, {"doc_id": pa.array(x["doc_id"], mask=x["no_id"]), "piece": x["piece"], "start": x["start"], "length": length, "ids_crc32": crc, "file": [path.rsplit("/", 1)[1]] * len(crc), "sequence": sequence, "offset": offset})
 
     files = manifest.select("path")
-    return files.repartition(max(1, manifest.count()), "path").mapInArrow(work, ROWS)
+    return files.repartition(max(1, math.ceil(manifest.count() / FILES_A_TASK)), "path").mapInArrow(work, ROWS)
 
 
 def pack_to_files(docs: DataFrame, out: str | None = None, **options) -> DataFrame:
