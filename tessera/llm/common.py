@@ -50,11 +50,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Deletes a statement's shuffle files once it has ended; what lost executors held is made again while it runs.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: written to the shared folder and read again, so a lost executor costs no earlier stage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: written to the shared folder and read again, so a lost executor costs no earlier stage.
+
+    The write's shuffle files go when it has ended, as nothing reads them any more.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, how: str = "inner") -> DataFrame:
