@@ -3,7 +3,8 @@
 A byte-level BPE splits a text into pre-tokens first and merges inside them only.  A single space between two
 code points that are not white space always begins a pre-token, so the stretches between such spaces can be
 encoded one by one, and a cache of stretches saves most of the work.  Stretches that the cache lacks go to the
-``tokenizers`` library in one batch for each text.
+``tokenizers`` library in one call for each text: joined by their spaces, unless one holds other spaces, as then a
+token that begins with a space begins a stretch and cuts the ids again.
 """
 
 from __future__ import annotations
@@ -36,11 +37,20 @@ def library(name: str):
     return Tokenizer.from_file(tokenizer_path(name))
 
 
+@cache
+def begins_with_space(name: str) -> np.ndarray:
+    """For each id, whether its token begins with a space (written as the byte alphabet's ``\u0120``)."""
+    vocabulary = library(name).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+    return out
+
+
 class Encoder:
     """``of(text)`` gives the ids as little-endian unsigned 32-bit bytes, or their number if ``count``."""
 
     def __init__(self, name: str = DEFAULT, count: bool = False, frequent: dict[str, int] | None = None, limit: int = CACHE) -> None:
-        self.library, self.count, self.limit = library(name), count, limit
+        self.library, self.count, self.limit, self.spaced = library(name), count, limit, begins_with_space(name)
         self.frequent = frequent or {}
         self.cache: dict = dict(self.frequent)
         self.misses = 0
@@ -49,16 +59,30 @@ class Encoder:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [len(x) for x in done] if self.count else [np.array(x.ids, "<u4").tobytes() for x in done]
 
+    def encode_words(self, words: list[str]) -> list:
+        """Stretches of a space and a word each, without further spaces and beside no other white space."""
+        done = self.library.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(done.ids, "<u4")
+        cuts = np.flatnonzero(self.spaced[ids])
+        if len(cuts) != len(words):
+            return self.encode([" " + w for w in words])
+        if self.count:
+            return np.diff(cuts, append=len(ids)).tolist()
+        raw, at = ids.tobytes(), (4 * cuts).tolist()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+
     def of(self, text: str | None):
         if not text:
             return 0 if self.count else b""
-        parts = _bound.split(text) if _odd.search(text) else text.split(" ")
+        odd = _odd.search(text)
+        parts = _bound.split(text) if odd else text.split(" ")
         first = self.encode(parts[:1]) if parts[0] else []
         rest = parts[1:]  # each with a space before it
         found = list(map(self.cache.get, rest))
         if None in found:
             lost = list(dict.fromkeys(p for p, v in zip(rest, found) if v is None))
-            fresh = dict(zip(lost, self.encode([" " + p for p in lost])))
+            joined = not odd and "" not in lost
+            fresh = dict(zip(lost, self.encode_words(lost) if joined else self.encode([" " + p for p in lost])))
             self.misses += len(lost)
             found = [fresh[p] if v is None else v for p, v in zip(rest, found)]
             if len(self.cache) + len(fresh) > self.limit:

@@ -343,3 +343,13 @@ def test_dart_estimates():
     assert abs(agree - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
     one = m.signature(keys[:1], a[:1])
     assert len(np.unique(one)) > k * 0.9
+
+
+def test_encoder_equals_library():
+    r, whole = random.Random(5), tokenizing.library(tokenizing.DEFAULT)
+    pieces = [*" \n\ta1'é漢Ġ\x1c\x85​　 ", "<|endoftext|>", "'s", "word"]
+    texts = ["a ", " a", "a  b", "a b\n", "Ġa Ġ b ĠĠ"] + ["".join(r.choice(pieces) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    encoder, counter = tokenizing.Encoder(limit=500), tokenizing.Encoder(count=True)
+    for text in texts:
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.of(text), "<u4").tolist() == ids and counter.of(text) == len(ids), repr(text)
