@@ -31,51 +31,53 @@ FILES_A_TASK = 8
 
 
 class Rooms:
-    """A segment tree over room sizes that counts the sequences with each; finds the least room of at least n."""
+    """A segment tree over room sizes that tells which ranges have sequences; finds the least room of at least n."""
 
     def __init__(self, capacity: int) -> None:
         self.leaves = 1 << capacity.bit_length()
-        self.count = [0] * (2 * self.leaves)
+        self.some = [False] * (2 * self.leaves)
         self.stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
 
-    def _add(self, room: int, by: int) -> None:
-        i = room + self.leaves
-        while i:
-            self.count[i] += by
-            i >>= 1
-
     def push(self, room: int, sequence: int) -> None:
         self.stacks[room].append(sequence)
-        self._add(room, 1)
+        i = room + self.leaves
+        while i and not self.some[i]:
+            self.some[i] = True
+            i >>= 1
 
     def pop(self, n: int) -> tuple[int, int] | None:
         """Takes out a sequence with the least room >= n."""
         i = n + self.leaves
-        if not self.count[i]:
-            while i > 1 and (i & 1 or not self.count[i + 1]):
+        if not self.some[i]:
+            while i > 1 and (i & 1 or not self.some[i + 1]):
                 i >>= 1
             if i <= 1:
                 return None
             i += 1
             while i < self.leaves:
-                i = 2 * i if self.count[2 * i] else 2 * i + 1
+                i = 2 * i if self.some[2 * i] else 2 * i + 1
         room = i - self.leaves
-        self._add(room, -1)
-        return room, self.stacks[room].pop()
+        sequence = self.stacks[room].pop()
+        if not self.stacks[room]:
+            self.some[i] = False
+            while i > 1 and not self.some[i ^ 1]:
+                i >>= 1
+                self.some[i] = False
+        return room, sequence
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Sequence and offset of each piece, and the number of sequences."""
     rooms, n = Rooms(capacity), 0
-    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for i in np.argsort(-lengths, kind="stable"):
-        size = int(lengths[i])
+    sequence, offset, sizes = [0] * len(lengths), [0] * len(lengths), lengths.tolist()
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size = sizes[i]
         room, s = rooms.pop(size) or (capacity, n)
         n += s == n
         sequence[i], offset[i] = s, capacity - room
         if room > size:
             rooms.push(room - size, s)
-    return sequence, offset, n
+    return np.array(sequence, np.int64), np.array(offset, np.int64), n
 
 
 def filesystem(path: str):
@@ -104,6 +106,7 @@ def write_packed(docs: DataFrame, out: str, tokenizer: str = DEFAULT, capacity:
         from pyspark import TaskContext
 
         task, encoder, held, size, k = TaskContext.get(), worker_encoder(tokenizer), [], 0, 0
+        end = np.array(end_id, "<u4").tobytes()
 
         def flush():
             data, n = packed(held, capacity, kind)
@@ -113,7 +116,7 @@ def write_packed(docs: DataFrame, out: str, tokenizer: str = DEFAULT, capacity:
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(np.frombuffer(encoder.of(text), "<u4"), end_id).astype(kind)
+                ids = np.frombuffer(encoder.of(text) + end, "<u4").astype(kind)
                 for p, s in enumerate(range(0, len(ids), capacity)):
                     held.append((i, p, s, ids[s : s + capacity]))
                 size += len(ids)
@@ -130,8 +133,9 @@ def packed(held: list, capacity: int, kind) -> tuple[bytes, int]:
     lengths = np.array([len(x[3]) for x in held], np.int64)
     sequence, offset, n = best_fit_decreasing(lengths, capacity)
     ids, resets = np.zeros((n, capacity), kind), np.zeros((n, capacity), bool)
-    for x, s, o in zip(held, sequence, offset):
-        ids[s, o : o + len(x[3])] = x[3]
+    flat = ids.reshape(-1)
+    for x, at in zip(held, (sequence * capacity + offset).tolist()):
+        flat[at : at + len(x[3])] = x[3]
     resets[sequence, offset] = True
     order = np.lexsort((offset, sequence))
     ends = (offset + lengths)[order]
@@ -166,7 +170,8 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                 resets = np.unpackbits(x["resets"], axis=1, count=ids.shape[1]).astype(bool)
                 if resets.sum() != len(offset) or not resets[sequence, offset].all():
                     raise ValueError(f"{path}: position resets and cumulative lengths disagree")
-                crc = [zlib.crc32(ids[s, o : o + n].astype("<u4").tobytes()) for s, o, n in zip(sequence, offset, length)]
+                flat = memoryview(ids.astype("<u4").reshape(-1).view(np.uint8))
+                crc = [zlib.crc32(flat[4 * a : 4 * (a + n)]) for a, n in zip((sequence * ids.shape[1] + offset).tolist(), length.tolist())]
                 yield to_batch(schema, {"doc_id": pa.array(x["doc_id"], mask=x["no_id"]), "piece": x["piece"], "start": x["start"], "length": length, "ids_crc32": crc, "file": [path.rsplit("/", 1)[1]] * len(crc), "sequence": sequence, "offset": offset})
 
     files = manifest.select("path")

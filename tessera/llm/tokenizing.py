@@ -18,7 +18,7 @@ import numpy as np
 DEFAULT = "byte_bpe_50k.json"
 #: Entries of a worker's cache (some 250 MB); it is emptied when full.
 CACHE = 1_000_000
-_odd = re.compile(r" \s|\s ")
+_odd = re.compile(r" (?:\s|(?<=\s.))")
 _bound = re.compile(r"(?<!\s) (?!\s)")
 
 
@@ -87,7 +87,7 @@ class Encoder:
             found = [fresh[p] if v is None else v for p, v in zip(rest, found)]
             if len(self.cache) + len(fresh) > self.limit:
                 self.cache = dict(self.frequent)
-            self.cache.update(x for x in fresh.items() if len(x[0]) < 64)
+            self.cache.update(fresh if max(map(len, lost)) < 64 else {p: v for p, v in fresh.items() if len(p) < 64})
         return sum(first) + sum(found) if self.count else b"".join(first + found)
 
 
