@@ -6,26 +6,21 @@ place and coordinate come from hashes.  Of the darts below the weight, each of t
 Two texts agree in a coordinate with probability equal to their weighted Jaccard similarity.  Bands of coordinates
 give buckets; what meets in a bucket is verified on whole texts.
 
-Equal texts are one vertex from the start.  Within a bucket no pairs are listed: its members are compared with a hub,
-those that match join the hub's component, and only buckets that still hold several components go on, with sixteen
-times as many further hubs each round, until every member not in one component has been compared.  From the second
-round on, members that meet in several buckets meet in the first of them only, and are verified only if their sketches
-(SKETCH_BITS of each coordinate) differ in no more bits than those of a pair at the threshold may, MARGIN standard
-deviations included.  That loses such a pair with probability 0.0014, less than the bands do, and more similar ones
-ever more rarely.  A link between two components can so never be lost to a group's size, and a group of thousands of
-alike texts is done after one round.  What stays quadratic is the number of sketches that are compared in a bucket
-of many texts that are near each other, but below the threshold.
+Equal texts are one vertex from the start.  All pairs that meet in a bucket are verified on whole texts; only a ratio
+of weights that rules the threshold out spares a pair that.  Texts that buckets chain together come to one task with
+their bands, where the shared shingles of all pairs are counted at once as a product of 0/1 matrices.  Chains of more
+than BLOCK texts are cut into blocks, and a task gets two blocks; where it moves fewer texts, a chain's buckets take the
+place of the chain, and a pair is verified in the first bucket that it shares.  So no link is lost to a group's size, but
+the work in a group of near copies grows with the square of its different texts.
 
 Defined results: texts are equal if their words are, so a null text equals one without words; a text of fewer than five
 words is one shingle; a class is a connected component of links (similarity >= threshold), named by its smallest doc_id
 (nulls last), and that document stays (of rows repeated with that id, one); an empty table gives no rows; further
-columns are not read.
+columns are not read; n_links of a row is how many other different texts its text meets in a bucket and is linked to.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import Rolling, attach, mixed, saved, small_batches, to_batch
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 8
+#: Texts in a block, and shingles in one at most if its texts are long; columns of a matrix.
+BLOCK, ROOM, COLUMNS = 256, 1 << 21, 4096
 SKETCH_BITS, MARGIN = 4, 3.0
 U = np.uint64
 
@@ -57,6 +54,12 @@ class Shingles:
         w = min(self.words, len(lo))
         return np.unique(self.rolling.hashes(self.rolling.prefix(data), lo[: len(lo) - w + 1], hi[w - 1 :]), return_counts=True)
 
+    def each(self, text: str | None) -> np.ndarray:
+        """A hash for each shingle and how often it came before, so that shared counts are shared elements."""
+        h, n = self.of(self.normal(text))
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return mixed(np.repeat(h, n) + nth.astype(U) * U(0x9E3779B97F4A7C15))
+
 
 class DartMinHash:
     def __init__(self, coordinates: int) -> None:
@@ -137,31 +140,109 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text").mapInArrow(work, "doc_id long, hash long, content binary, weight long, bands array<long>, sketch array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """The pairs (a, b) whose texts are as similar as the threshold; b, the hub, comes in runs."""
-    met = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of a shares with each of b; if b is a, what only one set has is left out."""
+    every, at = np.unique(np.concatenate([*a, *([] if b is a else b)]), return_inverse=True)
+    n, out, sides = sum(map(len, a)), np.zeros((len(a), len(b)), np.int64), []
+    shared = np.bincount(at, minlength=len(every)) > 1 if b is a else (np.bincount(at[:n], minlength=len(every)) > 0) & (np.bincount(at[n:], minlength=len(every)) > 0)
+    number = np.cumsum(shared) - 1
+    for sets, own in ((a, at[:n]), (b, at if b is a else at[n:])):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[shared[own]]
+        column = number[own[shared[own]]]
+        order = np.argsort(column, kind="stable")
+        sides.append((len(sets), row[order], column[order]))
+    total = int(shared.sum())
+    for first in range(0, total, COLUMNS):
+        width, parts = min(COLUMNS, total - first), []
+        for height, row, column in sides:
+            lo, hi = np.searchsorted(column, [first, first + width])
+            m = np.zeros((height, width), np.float32)
+            m[row[lo:hi], column[lo:hi] - first] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def linked(a: list[tuple], b: list[tuple], band: int, threshold: float) -> list[tuple[int, int, int]]:
+    """v, least (vertex that links lead to), n (links) of the texts (v, bands, elements) of two blocks, or of one twice.
+
+    Pairs count that share a band; if one is given, that they share it and none before.
+    """
+    x, y = (np.array([t[1] for t in side], np.int64) for side in (a, b))
+    meet = np.zeros((len(a), len(b)), bool)
+    for k in range(x.shape[1] if band < 0 else band):
+        meet |= x[:, k, None] == y[:, k]
+    if band >= 0:
+        meet = ~meet & (x[:, band, None] == y[:, band])
+    m, n = (np.array([len(t[2]) for t in side])[:, None] for side in (a, b))
+    meet &= np.minimum(m, n.T) >= threshold * np.maximum(m, n.T) - 1e-9
+    if b is a:
+        np.fill_diagonal(meet, False)
+    rows, columns = np.flatnonzero(meet.any(1)), np.flatnonzero(meet.any(0))
+    if not len(rows):
+        return []
+    left = [a[i][2] for i in rows]
+    both = overlaps(left, left if b is a else [b[j][2] for j in columns])
+    links = meet[np.ix_(rows, columns)] & (both >= threshold * (m[rows] + n[columns].T - both) - 1e-9)
+    v, w, none = np.array([a[i][0] for i in rows]), np.array([b[j][0] for j in columns]), np.iinfo(np.int64).max
+    p, q, before = v, w, None
+    while before is None or (p != before[0]).any() or (q != before[1]).any():
+        before = p, q
+        p = np.minimum(p, np.where(links, q, none).min(1))
+        q = np.minimum(q, np.where(links, p[:, None], none).min(0))
+    out = [(v, p, links.sum(1))] + ([] if b is a else [(w, q, links.sum(0))])
+    return [t for side in out for t in zip(*(c.tolist() for c in side)) if t[2]]
+
+
+def all_links(placed: DataFrame, threshold: float, words: int) -> DataFrame:
+    """v, least, n (see linked) for each pair of blocks; the rows of one (g, band, i, j) come in a run."""
+    schema = pa.schema([(c, pa.int64()) for c in ("v", "least", "n")])
 
     def work(batches):
-        shingles, known = Shingles(words), OrderedDict()
+        shingles, run, held, out = Shingles(words), None, [], []
 
-        def of(v, text):
-            if v not in known:
-                known[v] = shingles.of(shingles.normal(text))
-                if len(known) > 32:
-                    known.popitem(last=False)
-            known.move_to_end(v)
-            return known[v]
+        def ended():
+            (_, band, i, j), sides = run, [[t[1:] for t in held if t[0] == k] for k in run[2:]]
+            return linked(sides[0], sides[0] if i == j else sides[1], band, threshold) if all(sides) else []
 
         for batch in batches:
-            keep = []
-            for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                (x, m), (y, n) = of(a, ta), of(b, tb)
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                both = int(np.minimum(m[i], n[j]).sum())
-                keep.append(both >= threshold * (int(m.sum()) + int(n.sum()) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+            for *at, own, v, bands, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != run:
+                    out += ended() if held else []
+                    run, held = at, []
+                held.append((own, v, bands, shingles.each(text)))
+            if len(out) > 1000:
+                yield to_batch(schema, dict(zip(schema.names, zip(*out))))
+                out = []
+        out += ended() if held else []
+        if out:
+            yield to_batch(schema, dict(zip(schema.names, zip(*out))))
+
+    return placed.select("g", "band", "i", "j", "own", "v", "bands", "text").mapInArrow(work, "v long, least long, n long")
+
+
+def blocks(members: DataFrame, chains: DataFrame, n_rows: int) -> DataFrame:
+    """g, band, i, j, own, v: the pairs of blocks i and j of each chain or bucket g that a text of block own goes to.
+
+    band is -1 for chains.  A chain goes by its buckets if that moves fewer texts.
+    """
+
+    def parts(frame: DataFrame) -> DataFrame:
+        size = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(ROOM) / F.col("heavy"))))
+        return frame.withColumn("parts", F.ceil(F.col("n") / size).cast("int"))
+
+    chained = saved(members.join(chains.withColumnRenamed("u", "v"), "v", "left").select("key", "band", "v", "weight", F.coalesce("label", "v").alias("chain")), "chained")
+    once = chained.select("v", "chain", "weight").distinct()
+    whole = parts(once.groupBy("chain").agg(F.count("*").alias("n"), F.max("weight").alias("heavy")))
+    buckets = parts(chained.groupBy("chain", "key").agg(F.count("*").alias("n"), F.max("weight").alias("heavy")))
+    costs = buckets.groupBy("chain").agg(F.sum(F.col("n") * F.col("parts")).alias("cost"))
+    plan = saved(whole.join(costs, "chain").select("chain", "n", "parts", (F.col("n") * F.col("parts") > F.col("cost")).alias("split")), "plan")
+    one = attach(once, plan.filter("not split"), "chain", "n", n_rows).select(F.col("chain").alias("g"), F.lit(-1).alias("band"), "v", "parts")
+    split = buckets.join(plan.filter("split").select("chain"), "chain", "left_semi").select("key", "n", "parts")
+    many = attach(chained, split, "key", "n", n_rows * (1 + chained.agg(F.max("band")).first()[0])).select(F.col("key").alias("g"), "band", "v", "parts")
+    dealt = one.unionByName(many).withColumn("own", F.pmod(F.xxhash64(F.lit(7), "v"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    return dealt.select("g", "band", "v", "own", other).select("g", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,75 +263,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """doc_id, class_id, class_size, n_links (of its text to different texts), kept, for every row."""
+    """doc_id, class_id, class_size, n_links (of its text to other different texts), kept, for every row."""
     signed = saved(signatures(docs, bands, rows, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
     n_rows = signed.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "hash"))
     groups = saved(signed.groupBy("content").agg(first.alias("f"), F.count("*").alias("copies")).select("content", F.col("f.row").alias("v"), F.col("f.doc_id").alias("first_id"), F.col("f.hash").alias("hash"), "copies"), "contents")
     keyed = signed.select("row", "weight", F.posexplode("bands").alias("band", "key")).join(groups.select(F.col("v").alias("row")), "row", "left_semi").select("key", "band", F.col("row").alias("v"), "weight")
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("weight").alias("least"), F.max("weight").alias("most")).filter("n > 1")
-    buckets = saved(buckets.filter(F.col("most") > 0).select("key"), "buckets")
-    members = saved(keyed.join(buckets, "key").withColumn("label", F.col("v")), "members")
-    involved = groups.join(members.select("v").distinct(), "v", "left_semi").select("v", F.col("first_id").alias("__id"), F.col("hash").alias("__hash"))
-    texts = saved(docs.join(involved, docs["doc_id"].eqNullSafe(involved["__id"]) & (F.xxhash64("text") == involved["__hash"])).select("v", "text").dropDuplicates(["v"]), "texts")
-    marks = signed.select(F.col("row").alias("v"), "bands", "sketch")
-    labels, links, tested, hubs = None, [], None, 1
-    while True:
-        # a bucket is open while its members are of several components
-        open_ = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        members = saved(members.join(open_, "key", "left_semi"), "open")
-        if members.isEmpty():
-            break
-        order = F.col("v") if hubs == 1 else F.xxhash64(F.lit(hubs), "v")
-        part = F.pmod(F.xxhash64(F.lit(-hubs), "v"), F.lit(hubs))
-        chosen = saved(members.groupBy("key", part.alias("part")).agg(F.min(F.struct(order.alias("o"), "v", "weight", "label")).alias("h")).select("key", F.col("h.v").alias("b"), F.col("h.weight").alias("hub_weight"), F.col("h.label").alias("hub_label")), "hubs")
-        # two hubs of a bucket meet once
-        met = saved(members.join(chosen.select("key", F.col("b").alias("v"), F.lit(True).alias("hub")), ["key", "v"], "left"), "met")
-        members = met.filter("hub is null").drop("hub")
-        facing, meets = chosen, F.lit(True)
-        if hubs > 1:
-            met = met.join(marks, "v")
-            facing = chosen.join(marks.select(F.col("v").alias("b"), F.col("bands").alias("hub_bands"), F.col("sketch").alias("hub_sketch")), "b")
-            meets = alike("sketch", "hub_sketch", threshold, bands * rows) & F.expr("not exists(sequence(0, band), i -> i < band and bands[i] = hub_bands[i])")
-        near = F.least("weight", "hub_weight") >= threshold * F.greatest("weight", "hub_weight") - 1e-9
-        pairs = met.join(facing, "key").filter((F.col("label") != F.col("hub_label")) & (F.col("hub").isNull() | (F.col("v") < F.col("b"))) & near & meets).select(F.col("v").alias("a"), "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        tested = tested.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        found = saved(verified(pairs, texts, threshold, words), "links")
-        links.append(found)
-        if not found.isEmpty():
-            named = found
-            if labels is not None:
-                for side in "ab":
-                    named = named.join(labels.select(F.col("u").alias(side), F.col("label").alias(f"l{side}")), side, "left")
-                named = named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-            merged = saved(components(named.select(F.col("a").alias("u"), F.col("b").alias("v"))), "merged")
-            if labels is None:
-                labels = merged
-            else:
-                moved = merged.select(F.col("u").alias("label"), F.col("label").alias("new"))
-                old = labels.join(moved, "label", "left").select("u", F.coalesce("new", "label").alias("label"))
-                labels = old.unionByName(merged.join(labels, "u", "left_anti"))
-            labels = saved(labels, "labels")
-            now = labels.select(F.col("u").alias("v"), F.col("label").alias("now"))
-            members = members.join(now, "v", "left").select("key", "band", "v", "weight", F.coalesce("now", "label").alias("label"))
-        hubs *= 16
-    classes = groups
-    if links:
-        all_links = links[0]
-        for x in links[1:]:
-            all_links = all_links.unionByName(x)
-        ends = all_links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(all_links.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct()
-        classes = classes.join(ends.groupBy("v").agg(F.count("*").alias("n_links")), "v", "left")
-    else:
-        classes = classes.withColumn("n_links", F.lit(0).cast("long"))
-    if labels is not None:
-        classes = classes.join(labels.select(F.col("u").alias("v"), "label"), "v", "left")
-    else:
-        classes = classes.withColumn("label", F.lit(None).cast("long"))
+    buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("lo")).filter("n > 1").select("key", "lo"), "buckets")
+    members = saved(keyed.join(buckets, "key"), "members")
+    classes = groups.withColumns({"n_links": F.lit(0).cast("long"), "label": F.lit(None).cast("long")})
+    if not members.isEmpty():
+        chains = components(members.select(F.col("v").alias("u"), F.col("lo").alias("v")))
+        involved = signed.join(members.select(F.col("v").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("v"), F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "bands")
+        texts = saved(docs.join(involved, docs["doc_id"].eqNullSafe(involved["__id"]) & (F.xxhash64("text") == involved["__hash"])).select("v", "bands", "text").dropDuplicates(["v"]), "texts")
+        at, many = ["g", "band", "i", "j"], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = saved(blocks(members, chains, n_rows), "blocks").join(texts, "v").repartition(many, *at).sortWithinPartitions(*at)
+        found = saved(all_links(placed, threshold, words), "links")
+        labels = components(found.select(F.col("v").alias("u"), F.col("least").alias("v"))).select(F.col("u").alias("v"), "label")
+        classes = groups.join(found.groupBy("v").agg(F.sum("n").alias("n_links")), "v", "left").join(labels, "v", "left")
     classes = saved(classes.select("content", "v", "first_id", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "v").alias("label")), "classes")
     top = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "v"))
     heads = saved(classes.groupBy("label").agg(top.alias("t"), F.sum("copies").alias("class_size"), F.count("*").alias("texts")).select("label", F.col("t.first_id").alias("class_id"), F.col("t.v").alias("stays"), "class_size", "texts"), "heads")

@@ -353,3 +353,21 @@ def test_encoder_equals_library():
     for text in texts:
         ids = whole.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.of(text), "<u4").tolist() == ids and counter.of(text) == len(ids), repr(text)
+
+
+def test_dart_links_are_counted_in_full(docs, monkeypatch):
+    base = words(77, 300).split()
+    texts = [" ".join(base[:i] + ["edit"] + base[i + 1 :]) for i in range(9, 300, 30)] + [words(78, 80)]
+    texts += [texts[0], *(words(79, 60) + f" end{i}" for i in range(3))]
+    want = [9] * 10 + [0, 9, 2, 2, 2]
+    assert [x.n_links for _, x in sorted(by_id(dart.near_classes(docs(*enumerate(texts)))).items())] == want
+    monkeypatch.setattr(dart, "BLOCK", 3)
+    out = by_id(dart.near_classes(docs(*enumerate(texts))))
+    assert [out[i].n_links for i in range(len(texts))] == want and [out[i].class_id for i in range(len(texts))] == naive_classes(texts)
+
+
+def test_dart_overlaps():
+    r = np.random.default_rng(8)
+    a, b = ([r.choice(9000, n, False).astype(np.uint64) for n in sizes] for sizes in ((3, 700, 6000), (1, 5000)))
+    assert dart.overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert (dart.overlaps(a, a)[np.triu_indices(3, 1)] == [len(np.intersect1d(a[i], a[j])) for i, j in ((0, 1), (0, 2), (1, 2))]).all()
