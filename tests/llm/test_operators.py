@@ -371,3 +371,13 @@ def test_dart_overlaps():
     a, b = ([r.choice(9000, n, False).astype(np.uint64) for n in sizes] for sizes in ((3, 700, 6000), (1, 5000)))
     assert dart.overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
     assert (dart.overlaps(a, a)[np.triu_indices(3, 1)] == [len(np.intersect1d(a[i], a[j])) for i, j in ((0, 1), (0, 2), (1, 2))]).all()
+
+
+def test_dart_verifies_unlike_signatures(docs):
+    """The last two are at 0.802, with signatures further apart than usual; both buckets they share have a third text."""
+    texts = []
+    for edits in ({"h5": (23, 177, 195, 14, 112, 117, 52, 48, 156), "e642": (4,)}, {"h37": (81, 79, 100, 111, 138, 122, 22, 54, 108), "e642": (4,)}, {}, {"e642": (4, 66, 87, 149, 0, 202)}):
+        put = {i: word for word, at in edits.items() for i in at}
+        texts.append(" ".join(put.get(i, f"w{i}") for i in range(204)))
+    out = by_id(dart.near_classes(docs(*enumerate(texts))))
+    assert [out[i].class_id for i in range(4)] == naive_classes(texts) == [0, 1, 2, 2]
