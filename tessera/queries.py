@@ -170,6 +170,19 @@ for _how in ("left", "right", "full"):
     _outer(f"join_{_how}", _how)
 
 
+def _outer_by_value(name: str, how: str) -> None:
+    def f(t):
+        c, o = t.customer.filter("c_acctbal > 0"), t.orders.filter("o_totalprice > 300000")
+        return c.join(o, F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey", "o_orderkey")
+
+    f.__name__ = name
+    query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) c {how} JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey")(f)
+
+
+for _how in ("left", "right", "full"):
+    _outer_by_value(f"join_{_how}_by_value", _how)
+
+
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
 def join_cross(t):
     return t.region.crossJoin(t.nation).select("r_name", "n_name")
@@ -415,6 +428,11 @@ def unique_conflicts_existing(t):
     return constraints.existing_conflicts(t.orders.filter("o_orderkey % 3 = 0"), t.orders.filter("o_orderkey % 2 = 0"), ["o_orderkey"]).select("o_orderkey")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def unique_conflicts_existing_all(t):
+    return constraints.existing_conflicts(t.orders, t.orders.filter("o_orderstatus = 'F'"), ["o_orderkey"]).select("o_orderkey")
+
+
 @query("SELECT l_orderkey, l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def unique_composite(t):
     return constraints.duplicate_keys(t.lineitem, ["l_orderkey", "l_partkey", "l_suppkey"])
@@ -425,6 +443,11 @@ def unique_update_self(t):
     return constraints.existing_conflicts(t.customer.filter("c_custkey <= 100"), t.customer, ["c_nationkey", "c_mktsegment"], "c_custkey").select("c_custkey")
 
 
+@query("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM customer o WHERE o.c_nationkey = c.c_nationkey AND o.c_mktsegment = c.c_mktsegment AND o.c_custkey <> c.c_custkey)")
+def unique_update_self_all(t):
+    return constraints.existing_conflicts(t.customer, t.customer, ["c_nationkey", "c_mktsegment"], "c_custkey").select("c_custkey")
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY ALL HAVING count(*) > 1")
 def partial_unique_predicate(t):
     return constraints.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"], "l_quantity > 25")
@@ -435,6 +458,11 @@ def fk_orphans(t):
     return constraints.orphans(t.lineitem, ["l_orderkey"], t.orders.filter("o_orderkey % 150 <> 0"), ["o_orderkey"]).select("l_orderkey", "l_linenumber")
 
 
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 50000)")
+def fk_orphans_by_value(t):
+    return constraints.orphans(t.lineitem, ["l_orderkey"], t.orders.filter("o_totalprice > 50000"), ["o_orderkey"]).select("l_orderkey", "l_linenumber")
+
+
 @query("SELECT c_custkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS k FROM customer) WHERE k IS NOT NULL AND k NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 0)")
 def fk_null_skipped(t):
     child = t.customer.select("c_custkey", F.expr("CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END").alias("k"))
