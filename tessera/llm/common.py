@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words; every other code point belongs to a word.
@@ -28,9 +29,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small, as one row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
+    """Bound the session's Arrow batches by rows and bytes, as one row may hold a very long text; smaller bounds stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,18 +88,45 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int,
     return met.unionByName(cold.select(*rows.columns, *own))
 
 
-def ranked(rows: DataFrame, key: str, order: list[str], n_rows: int, size: str | None = None) -> DataFrame:
+def row_key() -> Column:
+    """One number for a row's id and text, never null; rows that share it without sharing the id are told apart by the id."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
+def without(docs: DataFrame, judged: DataFrame, name: str) -> DataFrame:
+    """The rows of docs that stay.  judged has doc_id, key (see row_key) and kept for every row.
+
+    Of n equal rows as many stay as judged keeps; the texts are shuffled once, by the same plan at every size.
+    """
+    votes = judged.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.count_if(F.col("kept")).alias("__kept"), F.count_if(~F.col("kept")).alias("__not"))
+    gone = saved(votes.filter("__not > 0"), name)
+
+    def same(some: DataFrame):
+        return (row_key() == some["__key"]) & docs["doc_id"].eqNullSafe(some["__id"])
+
+    rest = docs.join(gone.hint("merge"), same(gone), "left_anti")
+    again = gone.filter("__kept > 0")
+    if again.isEmpty():
+        return rest
+    # some of equal rows stay: they differ at most in other columns
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    met = docs.select(F.struct(*columns).alias("__row"), row_key().alias("__k"), docs["doc_id"].alias("__d")).join(again.hint("merge"), (F.col("__k") == F.col("__key")) & F.col("__d").eqNullSafe(F.col("__id")))
+    nth = F.row_number().over(Window.partitionBy("__key", "__id").orderBy(F.to_json("__row")))
+    some = met.withColumn("__nth", nth).filter("__nth <= __kept")
+    return rest.unionAll(some.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
+
+
+def ranked(rows: DataFrame, key: str, order: list[str], n_rows: int, size: str | None = None, ties: list[str] = [], buckets: int = 256) -> DataFrame:
     """Add ``rank`` (from 0 within key; with ``size``, the sum of that column before the row).
 
     No task gets a whole key: each key is dealt into buckets by a hash of the order columns, ranks run inside a
-    bucket, and bucket totals (at most one row for each key and bucket) give where each bucket begins.
+    bucket, and bucket totals (at most one row for each key and bucket) give where each bucket begins.  ``ties``
+    orders rows that are equal otherwise.  Ranks follow from the rows alone, not from how they are split or shuffled.
     """
-    from pyspark.sql import Window
-
-    buckets = max(4, math.ceil(n_rows / 20_000))
+    buckets = max(buckets, math.ceil(n_rows / 20_000))
     amount = F.col(size).cast("long") if size else F.lit(1).cast("long")
     dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    inside = Window.partitionBy(key, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "__bucket").orderBy(*order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy(key, "__bucket").agg(F.sum(amount).alias("__n"))
     before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(F.col(key).alias("__key"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

@@ -6,17 +6,20 @@ place and coordinate come from hashes.  Of the darts below the weight, each of t
 Two texts agree in a coordinate with probability equal to their weighted Jaccard similarity.  Bands of coordinates
 give buckets; what meets in a bucket is verified on whole texts.
 
-Equal texts are one vertex from the start.  All pairs that meet in a bucket are verified on whole texts; only a ratio
-of weights that rules the threshold out spares a pair that.  Texts that buckets chain together come to one task with
-their bands, where the shared shingles of all pairs are counted at once as a product of 0/1 matrices.  Chains of more
-than BLOCK texts are cut into blocks, and a task gets two blocks; where it moves fewer texts, a chain's buckets take the
-place of the chain, and a pair is verified in the first bucket that it shares.  So no link is lost to a group's size, but
-the work in a group of near copies grows with the square of its different texts.
+Equal texts are one vertex from the start.  What is wanted are connected components, so a pair need not be verified once
+its texts have one label, and none is refused by an estimate.  Texts that buckets chain together go to one task if they
+are at most BLOCK.  Of a longer chain, each text first goes to the largest of its buckets, cut into blocks; then, for some
+rounds, the texts outside a bucket's largest label are held against a hundred of those inside.  All this costs a few
+copies of each text.  What is left open then is settled exactly: the texts outside the largest label are held against all
+others that share a bucket with them, by chain or by bucket, whichever moves fewer texts.  So a group of near copies costs
+in proportion to its texts, and only texts that meet in a bucket but are not linked cost more: each is held against all
+in that bucket.  Shared shingles of all pairs of two blocks are counted at once as a product of 0/1 matrices.
 
 Defined results: texts are equal if their words are, so a null text equals one without words; a text of fewer than five
 words is one shingle; a class is a connected component of links (similarity >= threshold), named by its smallest doc_id
-(nulls last), and that document stays (of rows repeated with that id, one); an empty table gives no rows; further
-columns are not read; n_links of a row is how many other different texts its text meets in a bucket and is linked to.
+(nulls last), and that document stays (of rows repeated with that id, one); an empty table gives no rows; columns but
+doc_id and text are not read, whatever their names.  A text is held whole by one worker, and a block has at most BLOCK
+texts and, beyond a first text, some ROOM shingles, so memory follows from these and the longest text.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, attach, mixed, saved, small_batches, to_batch
+from .common import Rolling, attach, mixed, row_key, saved, small_batches, to_batch, union, without
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 8
 #: Texts in a block, and shingles in one at most if its texts are long; columns of a matrix.
 BLOCK, ROOM, COLUMNS = 256, 1 << 21, 4096
+#: Rounds that hold the texts outside a bucket's largest label against some inside, at most; how many inside.
+ROUNDS, INSIDE = 4, 128
 U = np.uint64
 
 
@@ -104,9 +109,9 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """doc_id, hash (of the text as it is), content (of its words), weight (shingles), bands."""
+    """doc_id, key (see row_key), content (of its words), weight (shingles), bands."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("content", pa.binary()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("content", pa.binary()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def work(batches):
         shingles, darts = Shingles(words), DartMinHash(bands * rows)
@@ -118,9 +123,9 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
                 content.append(xxhash.xxh3_128_digest(normal))
                 weight.append(int(n.sum()))
                 keys.append(band_keys(darts.signature(h, n.astype(float)), bands, rows) if len(h) else [])
-            yield to_batch(schema, {"doc_id": b.column(0), "hash": b.column(1), "content": content, "weight": weight, "bands": keys})
+            yield to_batch(schema, {"doc_id": b.column(0), "key": b.column(1), "content": content, "weight": weight, "bands": keys})
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text").mapInArrow(work, "doc_id long, hash long, content binary, weight long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), "text").mapInArrow(work, "doc_id long, key long, content binary, weight long, bands array<long>")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -146,26 +151,26 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(a: list[tuple], b: list[tuple], band: int, threshold: float) -> list[tuple[int, int, int]]:
-    """v, least (vertex that links lead to), n (links) of the texts (v, bands, elements) of two blocks, or of one twice.
+def linked(a: list[tuple], b: list[tuple], band: int, threshold: float) -> list[tuple[int, int]]:
+    """v, least (vertex that links lead to) of the texts (v, label, bands, elements) of two blocks, or of one twice.
 
-    Pairs count that share a band; if one is given, that they share it and none before.
+    Pairs count that share a band and have two labels; if a band is given, that they share it and none before.
     """
-    x, y = (np.array([t[1] for t in side], np.int64) for side in (a, b))
+    x, y = (np.array([t[2] for t in side], np.int64) for side in (a, b))
     meet = np.zeros((len(a), len(b)), bool)
     for k in range(x.shape[1] if band < 0 else band):
         meet |= x[:, k, None] == y[:, k]
     if band >= 0:
         meet = ~meet & (x[:, band, None] == y[:, band])
-    m, n = (np.array([len(t[2]) for t in side])[:, None] for side in (a, b))
-    meet &= np.minimum(m, n.T) >= threshold * np.maximum(m, n.T) - 1e-9
-    if b is a:
-        np.fill_diagonal(meet, False)
+    m, n = (np.array([len(t[3]) for t in side])[:, None] for side in (a, b))
+    meet &= np.minimum(m, n.T) >= threshold * np.maximum(m, n.T) - 1e-9  # no other ratio can reach the threshold
+    p, q = (np.array([t[1] for t in side]) for side in (a, b))
+    meet &= p[:, None] != q
     rows, columns = np.flatnonzero(meet.any(1)), np.flatnonzero(meet.any(0))
     if not len(rows):
         return []
-    left = [a[i][2] for i in rows]
-    both = overlaps(left, left if b is a else [b[j][2] for j in columns])
+    left = [a[i][3] for i in rows]
+    both = overlaps(left, left if b is a else [b[j][3] for j in columns])
     links = meet[np.ix_(rows, columns)] & (both >= threshold * (m[rows] + n[columns].T - both) - 1e-9)
     v, w, none = np.array([a[i][0] for i in rows]), np.array([b[j][0] for j in columns]), np.iinfo(np.int64).max
     p, q, before = v, w, None
@@ -173,108 +178,181 @@ def linked(a: list[tuple], b: list[tuple], band: int, threshold: float) -> list[
         before = p, q
         p = np.minimum(p, np.where(links, q, none).min(1))
         q = np.minimum(q, np.where(links, p[:, None], none).min(0))
-    out = [(v, p, links.sum(1))] + ([] if b is a else [(w, q, links.sum(0))])
-    return [t for side in out for t in zip(*(c.tolist() for c in side)) if t[2]]
+    out = dict(zip(w.tolist(), q.tolist())) | dict(zip(v.tolist(), p.tolist()))
+    return [(k, least) for k, least in out.items() if k != least]
+
+
+PLACE = ["g", "band", "i", "j"]
 
 
 def all_links(placed: DataFrame, threshold: float, words: int) -> DataFrame:
-    """v, least, n (see linked) for each pair of blocks; the rows of one (g, band, i, j) come in a run."""
-    schema = pa.schema([(c, pa.int64()) for c in ("v", "least", "n")])
+    """u, v: links between the texts of each block (g, band, i, j), those of side 0 against side 1 if both are there.
+
+    placed: PLACE, side, v, label, bands, text; rows repeated in a block count once.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("u", "v")])
 
     def work(batches):
-        shingles, run, held, out = Shingles(words), None, [], []
+        shingles, run, held, out = Shingles(words), None, ({}, {}), []
 
         def ended():
-            (_, band, i, j), sides = run, [[t[1:] for t in held if t[0] == k] for k in run[2:]]
-            return linked(sides[0], sides[0] if i == j else sides[1], band, threshold) if all(sides) else []
+            a, b = (list(side.values()) for side in held)
+            return linked(a, b or a, run[1], threshold) if a else []
 
         for batch in batches:
-            for *at, own, v, bands, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for *at, side, v, label, bands, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != run:
-                    out += ended() if held else []
-                    run, held = at, []
-                held.append((own, v, bands, shingles.each(text)))
+                    out += ended() if run else []
+                    run, held = at, ({}, {})
+                if v not in held[side]:
+                    held[side][v] = (v, label, bands, shingles.each(text))
             if len(out) > 1000:
                 yield to_batch(schema, dict(zip(schema.names, zip(*out))))
                 out = []
-        out += ended() if held else []
+        out += ended() if run else []
         if out:
             yield to_batch(schema, dict(zip(schema.names, zip(*out))))
 
-    return placed.select("g", "band", "i", "j", "own", "v", "bands", "text").mapInArrow(work, "v long, least long, n long")
+    many = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.select(*PLACE, "side", "v", "label", "bands", "text").repartition(many, *PLACE).sortWithinPartitions(*PLACE)
+    return dealt.mapInArrow(work, "u long, v long")
+
+
+def parts_of(n, weight, block: int = 0):
+    """Blocks for n texts of so many shingles in all."""
+    return F.ceil(F.greatest(F.lit(1), F.col(n) / (block or BLOCK), F.col(weight) / ROOM)).cast("int")
+
+
+def dealt_to(parts, seed: int):
+    return F.pmod(F.xxhash64(F.lit(seed), "v"), F.col(parts)).cast("int")
+
+
+def upto(n):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Of rows (g, v, label, weight): g, giant (its largest label), n, total (weight), m, m_total of what has other labels, where there are such."""
+    labels = rows.groupBy("g", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("total"))
+    giant = F.max(F.struct("n", "label", "total")).alias("giant")
+    sums = labels.groupBy("g").agg(giant, F.sum("n").alias("n"), F.sum("total").alias("total"))
+    rest = [(F.col("n") - F.col("giant.n")).alias("m"), (F.col("total") - F.col("giant.total")).alias("m_total")]
+    return sums.select("g", F.col("giant.label").alias("giant"), "n", "total", *rest).filter("m > 0")
+
+
+def near_edges(docs: DataFrame, signed: DataFrame, members: DataFrame, n_rows: int, threshold: float, words: int) -> DataFrame:
+    """u, v: links that connect all that links connect.  members: key, band, v, n (texts) of each bucket of several texts."""
+    chains = components(members.select(F.col("v").alias("u"), F.col("lo").alias("v"))).withColumnsRenamed({"u": "v"})
+    picks = members.groupBy("v").agg(F.max(F.struct("n", "key"))["key"].alias("pick"))
+    own = signed.select(F.col("row").alias("v"), F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "weight", "bands").join(picks, "v").join(chains, "v", "left")
+    own = saved(own.withColumn("chain", F.coalesce("label", "v")).drop("label"), "vertices")
+    sizes = saved(own.groupBy("chain").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).withColumn("large", (F.col("n") > BLOCK) | (F.col("total") > ROOM)), "chains")
+    own = attach(own, sizes, "chain", "n", n_rows).withColumn("g", F.when(F.col("large"), F.col("pick")).otherwise(F.col("chain"))).drop("n", "total")
+    own = saved(own, "grouped")
+    groups = saved(own.groupBy("g").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).withColumn("parts", parts_of("n", "total")).filter("n > 1"), "groups")
+    spots = attach(own, groups, "g", "n", n_rows).withColumn("i", dealt_to("parts", 0)).drop("n", "total", "parts", "chain", "pick")
+
+    def with_text(some: DataFrame) -> DataFrame:
+        return docs.join(some.hint("merge"), (row_key() == some["__key"]) & docs["doc_id"].eqNullSafe(some["__id"])).drop("doc_id", "__id", "__key")
+
+    first = spots.withColumns({"band": F.lit(-1), "j": F.lit(0), "side": F.lit(0), "label": F.col("v")})
+    edges = saved(all_links(with_text(first), threshold, words), "links")
+    large = own.filter("large")
+    if large.isEmpty():
+        return edges
+    texts = saved(with_text(large.select("v", "__id", "__key", "bands")), "texts")
+    large = saved(large.select("v", "chain", "g", "weight"), "large")
+
+    def labelled(some: DataFrame) -> DataFrame:
+        return some.join(labels.withColumnRenamed("u", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
+
+    open_ = None
+    for k in range(1, ROUNDS + 1):
+        labels = components(edges)
+        now = saved(labelled(large), "labelled")
+        groups = saved(summed(now).withColumn("parts", parts_of("m", "m_total", BLOCK - INSIDE)), "open_groups")
+        before, open_ = open_, groups.agg(F.sum("m")).first()[0] or 0
+        if not open_ or before and open_ > 0.7 * before:
+            break
+        met = attach(now, groups, "g", "n", n_rows)
+        outside = met.filter("label <> giant").select("g", "v", "label", dealt_to("parts", k).alias("i"))
+        chosen = F.pmod(F.xxhash64(F.lit(-k), "v"), F.col("n") - F.col("m")) < INSIDE
+        inside = met.filter("label = giant").filter(chosen).select("g", "v", "label", upto("parts").alias("i"))
+        placed = outside.unionByName(inside).withColumns({"band": F.lit(-1), "j": F.lit(0), "side": F.lit(0)})
+        edges = edges.unionByName(saved(all_links(placed.join(texts, "v"), threshold, words), "links"))
+    labels = components(edges)
+    now = saved(labelled(large), "labelled")
+
+    def planned(rows: DataFrame) -> DataFrame:
+        return summed(rows).withColumns({"all_parts": parts_of("n", "total"), "parts": parts_of("m", "m_total")}).withColumn("cost", F.col("n") * F.col("parts") + F.col("m") * F.col("all_parts"))
+
+    by_chain = saved(planned(now.withColumn("g", F.col("chain"))), "open_chains")
+    if by_chain.isEmpty():
+        return edges
+    held = saved(members.select("key", "band", "v").join(now.select("v", "label", "weight", "chain"), "v").withColumnRenamed("key", "g"), "held")
+    by_bucket = saved(planned(held), "open_buckets")
+    where = held.select("g", "chain").distinct()
+    costs = by_bucket.join(where, "g").groupBy("chain").agg(F.sum("cost").alias("other"))
+    cheap = saved(by_chain.join(costs.withColumnRenamed("chain", "g"), "g").select("g", (F.col("cost") <= F.col("other")).alias("whole")), "cheap")
+    whole = by_chain.join(cheap.filter("whole"), "g", "left_semi")
+    split = by_bucket.join(where.join(cheap.filter("not whole").select(F.col("g").alias("chain")), "chain", "left_semi"), "g", "left_semi")
+    met = attach(now.withColumn("g", F.col("chain")).select("g", F.lit(-1).alias("band"), "v", "label"), whole, "g", "n", n_rows)
+    met = met.unionByName(attach(held.select("g", "band", "v", "label"), split, "g", "n", n_rows))
+    met = saved(met.withColumns({"one": F.col("all_parts") == 1, "mine": dealt_to("parts", -1), "other": dealt_to("all_parts", -2)}), "met")
+    at = ["g", "band", "v", "label"]
+    placed = union([
+        met.filter("one").select(*at, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")),
+        met.filter("not one and label <> giant").select(*at, F.col("mine").alias("i"), upto("all_parts").alias("j"), F.lit(0).alias("side")),
+        met.filter("not one").select(*at, upto("parts").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side")),
+    ])
+    return edges.unionByName(saved(all_links(placed.join(texts, "v"), threshold, words), "links"))
 
 
-def blocks(members: DataFrame, chains: DataFrame, n_rows: int) -> DataFrame:
-    """g, band, i, j, own, v: the pairs of blocks i and j of each chain or bucket g that a text of block own goes to.
+def components(edges: DataFrame) -> DataFrame:
+    """u, label (the smallest vertex of its component) by large-star and small-star rounds over (u, v).
 
-    band is -1 for chains.  A chain goes by its buckets if that moves fewer texts.
+    Minima are written before they are joined, so that a hub's edges can be split over tasks.
     """
-
-    def parts(frame: DataFrame) -> DataFrame:
-        size = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(ROOM) / F.col("heavy"))))
-        return frame.withColumn("parts", F.ceil(F.col("n") / size).cast("int"))
-
-    chained = saved(members.join(chains.withColumnRenamed("u", "v"), "v", "left").select("key", "band", "v", "weight", F.coalesce("label", "v").alias("chain")), "chained")
-    once = chained.select("v", "chain", "weight").distinct()
-    whole = parts(once.groupBy("chain").agg(F.count("*").alias("n"), F.max("weight").alias("heavy")))
-    buckets = parts(chained.groupBy("chain", "key").agg(F.count("*").alias("n"), F.max("weight").alias("heavy")))
-    costs = buckets.groupBy("chain").agg(F.sum(F.col("n") * F.col("parts")).alias("cost"))
-    plan = saved(whole.join(costs, "chain").select("chain", "n", "parts", (F.col("n") * F.col("parts") > F.col("cost")).alias("split")), "plan")
-    one = attach(once, plan.filter("not split"), "chain", "n", n_rows).select(F.col("chain").alias("g"), F.lit(-1).alias("band"), "v", "parts")
-    split = buckets.join(plan.filter("split").select("chain"), "chain", "left_semi").select("key", "n", "parts")
-    many = attach(chained, split, "key", "n", n_rows * (1 + chained.agg(F.max("band")).first()[0])).select(F.col("key").alias("g"), "band", "v", "parts")
-    dealt = one.unionByName(many).withColumn("own", F.pmod(F.xxhash64(F.lit(7), "v"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return dealt.select("g", "band", "v", "own", other).select("g", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """u, label (the smallest vertex of its component) by large-star and small-star rounds over (u, v)."""
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+    edges = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = saved(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = saved(small.filter("u <> v").distinct(), "small")
         # done once each vertex has one edge, to a vertex without a smaller one
         several = edges.groupBy("u").count().filter("count > 1").select("u")
-        middle = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+        middle = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
         if several.unionByName(middle).isEmpty():
             return edges.withColumnRenamed("v", "label")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = saved(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = saved(small.filter("u <> v").distinct(), "small")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """doc_id, class_id, class_size, n_links (of its text to other different texts), kept, for every row."""
+def classes_of(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
+    """doc_id, class_id, class_size, kept, key (see row_key), for every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = saved(signatures(docs, bands, rows, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
     n_rows = signed.count()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "hash"))
-    groups = saved(signed.groupBy("content").agg(first.alias("f"), F.count("*").alias("copies")).select("content", F.col("f.row").alias("v"), F.col("f.doc_id").alias("first_id"), F.col("f.hash").alias("hash"), "copies"), "contents")
-    keyed = signed.select("row", "weight", F.posexplode("bands").alias("band", "key")).join(groups.select(F.col("v").alias("row")), "row", "left_semi").select("key", "band", F.col("row").alias("v"), "weight")
-    buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("lo")).filter("n > 1").select("key", "lo"), "buckets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    groups = saved(signed.groupBy("content").agg(first.alias("f"), F.count("*").alias("copies")).select("content", F.col("f.row").alias("v"), F.col("f.doc_id").alias("first_id"), "copies"), "contents")
+    keyed = signed.select("row", F.posexplode("bands").alias("band", "key")).join(groups.select(F.col("v").alias("row")), "row", "left_semi").select("key", "band", F.col("row").alias("v"))
+    buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("lo")).filter("n > 1"), "buckets")
     members = saved(keyed.join(buckets, "key"), "members")
-    classes = groups.withColumns({"n_links": F.lit(0).cast("long"), "label": F.lit(None).cast("long")})
-    if not members.isEmpty():
-        chains = components(members.select(F.col("v").alias("u"), F.col("lo").alias("v")))
-        involved = signed.join(members.select(F.col("v").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("v"), F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "bands")
-        texts = saved(docs.join(involved, docs["doc_id"].eqNullSafe(involved["__id"]) & (F.xxhash64("text") == involved["__hash"])).select("v", "bands", "text").dropDuplicates(["v"]), "texts")
-        at, many = ["g", "band", "i", "j"], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        placed = saved(blocks(members, chains, n_rows), "blocks").join(texts, "v").repartition(many, *at).sortWithinPartitions(*at)
-        found = saved(all_links(placed, threshold, words), "links")
-        labels = components(found.select(F.col("v").alias("u"), F.col("least").alias("v"))).select(F.col("u").alias("v"), "label")
-        classes = groups.join(found.groupBy("v").agg(F.sum("n").alias("n_links")), "v", "left").join(labels, "v", "left")
-    classes = saved(classes.select("content", "v", "first_id", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "v").alias("label")), "classes")
+    labels = None if members.isEmpty() else components(near_edges(docs, signed, members, n_rows, threshold, words)).withColumnRenamed("u", "v")
+    classes = groups.join(labels, "v", "left") if labels else groups.withColumn("label", F.col("v"))
+    classes = saved(classes.select("content", "v", "first_id", "copies", F.coalesce("label", "v").alias("label")), "classes")
     top = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "v"))
     heads = saved(classes.groupBy("label").agg(top.alias("t"), F.sum("copies").alias("class_size"), F.count("*").alias("texts")).select("label", F.col("t.first_id").alias("class_id"), F.col("t.v").alias("stays"), "class_size", "texts"), "heads")
-    full = saved(attach(classes, heads, "label", "texts", n_rows).select("content", "copies", "class_id", "stays", "class_size", "n_links"), "full")
-    out = attach(signed.select("doc_id", "row", "content"), full, "content", "copies", n_rows)
-    return out.select("doc_id", "class_id", "class_size", "n_links", (F.col("row") == F.col("stays")).alias("kept"))
+    full = saved(attach(classes, heads, "label", "texts", n_rows).select("content", "copies", "class_id", "stays", "class_size"), "full")
+    out = attach(signed.select("doc_id", "key", "row", "content"), full, "content", "copies", n_rows)
+    return out.select("doc_id", "class_id", "class_size", (F.col("row") == F.col("stays")).alias("kept"), "key")
+
+
+def near_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, class_size, kept, for every row."""
+    return classes_of(docs, **options).drop("key")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns; a document goes if another of its class stays."""
-    out = near_classes(docs, **options)
-    ids = out.groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"))
-    gone = saved(ids.filter("not __kept"), "near_gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    """The rows of docs that stay, with all their columns; a row goes if another of its class stays."""
+    return without(docs, classes_of(docs, **options), "near_gone")

@@ -355,15 +355,32 @@ def test_encoder_equals_library():
         assert np.frombuffer(encoder.of(text), "<u4").tolist() == ids and counter.of(text) == len(ids), repr(text)
 
 
-def test_dart_links_are_counted_in_full(docs, monkeypatch):
-    base = words(77, 300).split()
-    texts = [" ".join(base[:i] + ["edit"] + base[i + 1 :]) for i in range(9, 300, 30)] + [words(78, 80)]
-    texts += [texts[0], *(words(79, 60) + f" end{i}" for i in range(3))]
-    want = [9] * 10 + [0, 9, 2, 2, 2]
-    assert [x.n_links for _, x in sorted(by_id(dart.near_classes(docs(*enumerate(texts)))).items())] == want
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_dart_classes_of_large_groups(docs, monkeypatch, rounds):
+    """Blocks of three texts, with and without rounds that hold texts against a few of the largest label."""
     monkeypatch.setattr(dart, "BLOCK", 3)
+    monkeypatch.setattr(dart, "INSIDE", 1)
+    monkeypatch.setattr(dart, "ROUNDS", rounds)
+    r, texts = random.Random(rounds), []
+    for k, (n, words_, most) in enumerate([(30, 300, 20), (25, 200, 26), (12, 60, 6)]):  # the second: some pairs reach 0.8, some do not
+        base = words(70 + k, words_).split()
+        for _ in range(n):
+            copy = list(base)
+            for i in r.sample(range(words_), r.randint(0, most)):
+                copy[i] = f"e{r.randrange(3)}"
+            texts.append(" ".join(copy))
+    texts += [words(78, 80), texts[0], *(words(79, 60) + f" end{i}" for i in range(3))]
     out = by_id(dart.near_classes(docs(*enumerate(texts))))
-    assert [out[i].n_links for i in range(len(texts))] == want and [out[i].class_id for i in range(len(texts))] == naive_classes(texts)
+    assert [out[i].class_id for i in range(len(texts))] == naive_classes(texts)
+
+
+def test_dart_clashing_columns(spark):
+    names = ["v", "label", "g", "band", "key", "row", "weight", "bands", "content", "side", "a.b", "__id", "__key", "kept"]
+    rows = [(i, words(i % 3, 40), *([i] * len(names))) for i in range(6)] + [(None, "x", *([7] * len(names)))] * 2
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'`{c}` long' for c in names)}")
+    assert sorted(x.class_id for x in dart.near_classes(frame).collect() if x.class_id is not None) == [0, 0, 1, 1, 2, 2]
+    kept = dart.drop_near_copies(frame)
+    assert kept.columns == frame.columns and sorted((x.doc_id is None, x["a.b"]) for x in kept.collect()) == [(False, 0), (False, 1), (False, 2), (True, 7)]
 
 
 def test_dart_overlaps():
