@@ -240,35 +240,30 @@ def summed(rows: DataFrame) -> DataFrame:
     return sums.select("g", F.col("giant.label").alias("giant"), "n", "total", *rest).filter("m > 0")
 
 
-def near_edges(docs: DataFrame, signed: DataFrame, members: DataFrame, n_rows: int, threshold: float, words: int) -> DataFrame:
-    """u, v: links that connect all that links connect.  members: key, band, v, n (texts) of each bucket of several texts."""
+def near_labels(docs: DataFrame, signed: DataFrame, members: DataFrame, n_rows: int, threshold: float, words: int) -> DataFrame:
+    """u, label: components of the links between texts (see components).  members: key, band, v, n (texts) of each bucket of several texts."""
     chains = components(members.select(F.col("v").alias("u"), F.col("lo").alias("v"))).withColumnsRenamed({"u": "v"})
     picks = members.groupBy("v").agg(F.max(F.struct("n", "key"))["key"].alias("pick"))
     own = signed.select(F.col("row").alias("v"), F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "weight", "bands").join(picks, "v").join(chains, "v", "left")
     own = saved(own.withColumn("chain", F.coalesce("label", "v")).drop("label"), "vertices")
     sizes = saved(own.groupBy("chain").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).withColumn("large", (F.col("n") > BLOCK) | (F.col("total") > ROOM)), "chains")
-    own = attach(own, sizes, "chain", "n", n_rows).withColumn("g", F.when(F.col("large"), F.col("pick")).otherwise(F.col("chain"))).drop("n", "total")
-    own = saved(own, "grouped")
-    groups = saved(own.groupBy("g").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).withColumn("parts", parts_of("n", "total")).filter("n > 1"), "groups")
-    spots = attach(own, groups, "g", "n", n_rows).withColumn("i", dealt_to("parts", 0)).drop("n", "total", "parts", "chain", "pick")
-
-    def with_text(some: DataFrame) -> DataFrame:
-        return docs.join(some.hint("merge"), (row_key() == some["__key"]) & docs["doc_id"].eqNullSafe(some["__id"])).drop("doc_id", "__id", "__key")
-
-    first = spots.withColumns({"band": F.lit(-1), "j": F.lit(0), "side": F.lit(0), "label": F.col("v")})
-    edges = saved(all_links(with_text(first), threshold, words), "links")
-    large = own.filter("large")
+    spots = attach(own.select("v", "chain", "pick", "weight"), sizes, "chain", "n", n_rows).withColumn("g", F.when(F.col("large"), F.col("pick")).otherwise(F.col("chain")))
+    spots = saved(spots.select("v", "chain", "g", "weight", "large"), "grouped")
+    met = docs.join(own.hint("merge"), (row_key() == own["__key"]) & docs["doc_id"].eqNullSafe(own["__id"]))
+    texts = saved(met.select("v", "bands", "text"), "texts")  # of all that meets, moved once by the same plan at every size
+    groups = saved(spots.groupBy("g").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).withColumn("parts", parts_of("n", "total")).filter("n > 1"), "groups")
+    first = attach(spots, groups, "g", "n", n_rows).select("g", "v", F.col("v").alias("label"), dealt_to("parts", 0).alias("i")).withColumns({"band": F.lit(-1), "j": F.lit(0), "side": F.lit(0)})
+    edges = saved(all_links(first.join(texts, "v"), threshold, words), "links")
+    large = spots.filter("large").select("v", "chain", "g", "weight")
+    labels = components(edges)
     if large.isEmpty():
-        return edges
-    texts = saved(with_text(large.select("v", "__id", "__key", "bands")), "texts")
-    large = saved(large.select("v", "chain", "g", "weight"), "large")
+        return labels
 
     def labelled(some: DataFrame) -> DataFrame:
         return some.join(labels.withColumnRenamed("u", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
 
     open_ = None
     for k in range(1, ROUNDS + 1):
-        labels = components(edges)
         now = saved(labelled(large), "labelled")
         groups = saved(summed(now).withColumn("parts", parts_of("m", "m_total", BLOCK - INSIDE)), "open_groups")
         before, open_ = open_, groups.agg(F.sum("m")).first()[0] or 0
@@ -280,7 +275,7 @@ def near_edges(docs: DataFrame, signed: DataFrame, members: DataFrame, n_rows: i
         inside = met.filter("label = giant").filter(chosen).select("g", "v", "label", upto("parts").alias("i"))
         placed = outside.unionByName(inside).withColumns({"band": F.lit(-1), "j": F.lit(0), "side": F.lit(0)})
         edges = edges.unionByName(saved(all_links(placed.join(texts, "v"), threshold, words), "links"))
-    labels = components(edges)
+        labels = components(edges)
     now = saved(labelled(large), "labelled")
 
     def planned(rows: DataFrame) -> DataFrame:
@@ -288,7 +283,7 @@ def near_edges(docs: DataFrame, signed: DataFrame, members: DataFrame, n_rows: i
 
     by_chain = saved(planned(now.withColumn("g", F.col("chain"))), "open_chains")
     if by_chain.isEmpty():
-        return edges
+        return labels
     held = saved(members.select("key", "band", "v").join(now.select("v", "label", "weight", "chain"), "v").withColumnRenamed("key", "g"), "held")
     by_bucket = saved(planned(held), "open_buckets")
     where = held.select("g", "chain").distinct()
@@ -305,7 +300,7 @@ def near_edges(docs: DataFrame, signed: DataFrame, members: DataFrame, n_rows: i
         met.filter("not one and label <> giant").select(*at, F.col("mine").alias("i"), upto("all_parts").alias("j"), F.lit(0).alias("side")),
         met.filter("not one").select(*at, upto("parts").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side")),
     ])
-    return edges.unionByName(saved(all_links(placed.join(texts, "v"), threshold, words), "links"))
+    return components(edges.unionByName(saved(all_links(placed.join(texts, "v"), threshold, words), "links")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -338,7 +333,7 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     keyed = signed.select("row", F.posexplode("bands").alias("band", "key")).join(groups.select(F.col("v").alias("row")), "row", "left_semi").select("key", "band", F.col("row").alias("v"))
     buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("lo")).filter("n > 1"), "buckets")
     members = saved(keyed.join(buckets, "key"), "members")
-    labels = None if members.isEmpty() else components(near_edges(docs, signed, members, n_rows, threshold, words)).withColumnRenamed("u", "v")
+    labels = None if members.isEmpty() else near_labels(docs, signed, members, n_rows, threshold, words).withColumnRenamed("u", "v")
     classes = groups.join(labels, "v", "left") if labels else groups.withColumn("label", F.col("v"))
     classes = saved(classes.select("content", "v", "first_id", "copies", F.coalesce("label", "v").alias("label")), "classes")
     top = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "v"))
