@@ -9,8 +9,11 @@ however large, meets in one task.
 
 Defined results: a null text has size 0 and gives nothing; null is a source of its own, the last; a source without
 words has target 0; a block is taken at most twice (slots that would go further stay empty), so no document exceeds
-twice its size; repeated rows are mixed each; an empty table gives no rows; further columns are not read.  The number
-of sources is a bounded parameter (MAX_SOURCES; more raise an error), as the weights are given for each of them.
+twice its size; repeated rows are mixed each; an empty table gives no rows; columns but doc_id, text and source are not
+read, whatever their names; of a very long text only the size and then the parts taken leave its row.  Documents follow
+one another by hashes of id and text, so the mix is a function of the rows: it does not change with the files, their
+splits or the cluster.  The number of sources is a bounded parameter (MAX_SOURCES; more raise an error), as the weights
+are given for each of them.
 """
 
 from __future__ import annotations
@@ -21,12 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD, ranked, saved, small_batches, to_batch
+from .common import WORD, ranked, row_key, saved, small_batches, to_batch
 
 WEIGHTS, SHARE, LIMIT, BLOCK, SHARD = (3.0, 1.0, 2.0), 1.5, 2.0, 64, 1 << 16
 MAX_SOURCES = 100_000
 SEED = 20_240_229
+#: Slots that a task spreads, about.
+SPREAD = 1 << 18
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, limit: float = LIMIT) -> list[float]:
@@ -84,7 +90,7 @@ class Mix:
         spark = docs.sparkSession
         small_batches(spark)
         size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-        sized = saved(docs.select("doc_id", F.col("source").cast("string"), size.alias("size"), F.xxhash64("text").alias("hash")).withColumn("row", F.monotonically_increasing_id()), "sizes")
+        sized = saved(docs.select("doc_id", F.col("source").cast("string"), size.alias("size"), row_key().alias("key")).withColumn("row", F.monotonically_increasing_id()), "sizes")
         found = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
         if len(found) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -128,13 +134,15 @@ class Mix:
                     at = np.concatenate([permuted(k[turn == t] % most[s], int(most[s]), hash_key(seed, s, int(t))) for t in np.unique(turn)]) if len(k) else k
                     yield to_batch(slot_schema, {"s": np.full(len(k), s, np.int32), "shard": np.full(len(k), j), "slot": k, "pass": turn.astype(np.int32), "block": at})
 
-        first = ranked(counts, "s", ["shard"], max(1, shards), "n")
+        first = ranked(counts, "s", ["shard"], max(1, shards), "n", buckets=16)
+        # the rows are few, but each stands for up to a shard of slots
+        first = first.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SPREAD)), "s", "shard")
         return first.mapInArrow(spread, "s int, shard long, slot long, pass int, block long")
 
     def _segments(self) -> DataFrame:
         """s, block, row, first word and number of words: what of each document is in which block."""
         b = self.block
-        placed = ranked(self.sized.filter("size > 0").select("s", "row", "size"), "s", ["row"], self.rows, "size")
+        placed = ranked(self.sized.filter("size > 0").select("s", "row", "size", "key", "doc_id"), "s", ["key", "doc_id"], self.rows, "size", ["row"])
         cut = placed.select("s", "row", "size", "rank", F.explode(F.expr(f"sequence(rank div {b}, (rank + size - 1) div {b})")).alias("block"))
         low, high = F.greatest("rank", F.col("block") * b), F.least(F.col("rank") + F.col("size"), (F.col("block") + 1) * b)
         return cut.select("s", "block", "row", (low - F.col("rank")).alias("first"), (high - low).alias("n"))
@@ -151,23 +159,25 @@ class Mix:
 
     def texts(self, docs: DataFrame) -> DataFrame:
         """The mixed documents, with the columns of docs: for each pass over a source a row for each document that it
-        takes words of, its text cut down to those words.  Rows with equal ids and texts count as one, taken for all."""
-        key = self.sized.select("doc_id", "hash", "row")
-        parts = self.taken().groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"))
-        parts = saved(key.join(parts, "row").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "row", "pass", "parts"), "parts")
-        once = docs if key.select("doc_id", "hash").distinct().count() == self.rows else docs.dropDuplicates(["doc_id", "text"])
-        rest = [c for c in once.columns if c not in ("text", "n_chars")]
-        met = once.join(parts, once["doc_id"].eqNullSafe(parts["__id"]) & (F.xxhash64("text") == parts["__hash"])).select("text", "parts", F.struct(*rest).alias("rest"))
-        kind = met.schema["rest"].dataType.simpleString()
+        takes words of, its text cut down to those words.  Of rows with equal ids and texts, that with the least other
+        columns (as JSON) stands for all."""
+        key = self.sized.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "row")
+        parts = self.taken().groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("__parts"))
+        parts = saved(key.join(parts, "row").select("__id", "__key", "__parts"), "parts")
+        rest = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in ("text", "n_chars")])
+        once = docs.select(docs["doc_id"].alias("__d"), row_key().alias("__k"), docs["text"].alias("__text"), rest.alias("__rest"))
+        if self.sized.select("doc_id", "key").distinct().count() < self.rows:
+            once = once.groupBy("__d", "__k").agg(F.first("__text").alias("__text"), F.min_by("__rest", F.to_json("__rest")).alias("__rest"))
+        met = once.join(parts.hint("merge"), (F.col("__k") == F.col("__key")) & F.col("__d").eqNullSafe(F.col("__id"))).select("__text", "__parts", "__rest")
 
         def cut(batches):
             for b in batches:
                 texts = [sliced(t, p) for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(2)], ["text", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(2)], ["__text", "__rest"])
 
-        out = met.mapInArrow(cut, f"text string, rest {kind}")
-        have = {c: F.col(f"rest.{c}").alias(c) for c in rest} | {"text": F.col("text"), "n_chars": F.char_length("text").cast("long").alias("n_chars")}
-        return out.select(*[have[c] for c in docs.columns])
+        out = met.mapInArrow(cut, T.StructType([T.StructField("__text", T.StringType()), T.StructField("__rest", met.schema["__rest"].dataType)]))
+        have = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
+        return out.select(*[have.get(c, F.col("__rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def hash_key(seed: int, s: int, turn: int) -> int:
