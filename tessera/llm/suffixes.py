@@ -1,19 +1,24 @@
-"""Suffix-array dedup of repeated byte strings.
+"""Suffix-array dedup of repeated byte strings by longest previous factors.
 
 A string of ``length`` bytes that occurs twice is found by anchors: of each window of 101 grams of 100 bytes (for 200
 bytes), those with the least hash are anchors, so equal strings hold equal anchors at equal places.  Anchors are
-counted over the corpus.  One whose whole neighbourhood (all strings that it anchors) occurs twice settles these
-strings at once.  The rest, the ends of repeats, is settled by suffix arrays: the distinct neighbourhoods of an anchor
-are concatenated in corpus order, suffixes are sorted by their first ``length`` bytes (prefix doubling, ties by
-position), and the previous smaller position in suffix order with a common prefix of that length is the earlier match
-which the longest-previous-factor array tells of.  Neighbourhoods of an anchor with more than MAX_GROUP different ones
-do not go to one task; their strings are counted by hash instead.
-
-By default all copies go.  With ``keep_first`` the first copy stays, as only positions with an earlier match are
-removed.
-
-Defined results: a null text is empty; matches never cross documents; rows repeated with one id are documents of their
-own; an empty table gives no rows; further columns are not read.
+counted over the corpus, and the neighbourhood of each (all strings that it anchors) is one text with one or several
+positions; at all but its first position, the whole text has a previous factor.  The distinct neighbourhoods of an anchor
+then meet in a task.  There they are concatenated in corpus order and suffix-sorted by their first ``length`` bytes
+(prefix doubling, ties by position).  The previous and the next smaller position in suffix order are the two candidates
+for a suffix's longest previous factor; if either shares ``length`` bytes, the suffix has an earlier match.
+
+An anchor with more than MAX_GROUP distinct neighbourhoods is split: each neighbourhood is cut in two overlapping halves
+by where strings begin, and the halves meet by the bytes that all strings of a half share, which are 150 of 200 then, 175
+in the next round, and so on, until groups are small or the strings of a group are all one.  So no group is ever too
+large for a task, and every match is found by the same steps.
+
+By default all copies go: those with an earlier match, and the earlier matches themselves.  With ``keep_first`` the first
+copy stays, as only positions with an earlier match are removed.
+
+Defined results: a null text is empty; matches never cross documents; rows repeated with one id, or without one, are
+documents of their own; an empty table gives no rows; columns but doc_id and text are not read, whatever their names; a
+very long text is worked on in pieces of PIECE bytes, and held whole only where its spans are cut out.
 """
 
 from __future__ import annotations
@@ -22,14 +27,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, saved, small_batches, to_batch
+from .common import Rolling, saved, small_batches, to_batch, union
 
 LENGTH = 200
 MAX_GROUP = 20_000
 CHUNK = (1 << 21) - 1
+PIECE = 1 << 22
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -54,6 +61,15 @@ class Anchors:
 
     def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions, hashes of the grams there, hashes of the neighbourhoods (with the anchor's place in them)."""
+        n, edge = len(data), 2 * self.length
+        if n <= PIECE + 2 * edge:
+            return self._within(data, 0, 0, n)
+        # an anchor follows from less than ``edge`` bytes on each side
+        parts = [self._within(data[max(0, s - edge) : s + PIECE + edge], max(0, s - edge), s, s + PIECE) for s in range(0, n, PIECE)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _within(self, data: bytes, start: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The anchors at first..last-1 of a text of which data, from start on, is a part."""
         n = len(data)
         if n < self.length:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -64,9 +80,10 @@ class Anchors:
         least = sliding(grams, width, np.minimum)
         padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
         at = np.flatnonzero(sliding(padded, width, np.maximum)[: len(grams)] == grams)
+        at = at[(at + start >= first) & (at + start < last)]
         lo, hi = self.bounds(at, n)
         around = self.rolling.hashes(prefix, lo, hi) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return at, grams[at].view(np.int64), around.view(np.int64)
+        return at + start, grams[at].view(np.int64), around.view(np.int64)
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,34 +120,40 @@ def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, ~new
 
 
+def previous_smaller(position: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """For each element the nearest one before it, in its run, with a smaller position; -1 if there is none."""
+    near = np.arange(-1, len(position) - 1)
+    near[run != np.concatenate([[-1], run[:-1]])] = -1
+    todo = np.flatnonzero(near >= 0)
+    while len(todo):
+        todo = todo[position[near[todo]] >= position[todo]]
+        near[todo] = near[near[todo]]  # all between these two are no smaller than the first, so than the element
+        todo = todo[near[todo] >= 0]
+    return near
+
+
 def previous_factors(texts: list[bytes], at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts (in the concatenation) whose first ``depth`` bytes, within one text, also start earlier; and their sources.
+    """Starts (in the concatenation) whose longest previous factor has ``depth`` bytes or more; and where one begins.
 
-    at: the corpus position of each text's start, in rising order; starts at one corpus position are one.
+    at: the corpus position of each text's start, in rising order; starts at one corpus position are one.  The longest
+    previous factor begins at the previous or at the next smaller position in suffix order.  Only whether it reaches
+    ``depth`` is asked, so suffixes are ordered by so many bytes, and runs that share them are looked at.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     first = np.cumsum(sizes) - sizes
     order, same = suffix_ranks(data, depth)
     inside = np.arange(len(data)) - np.repeat(first, sizes)
-    usable = inside + depth <= np.repeat(sizes, sizes)
-    corpus = np.repeat(at, sizes) + inside
-    cls = np.cumsum(~same)
-    cls, order = cls[usable[order]], order[usable[order]]
-    # within a class of equal prefixes by corpus position, each position once
-    by = np.lexsort((corpus[order], cls))
-    cls, order = cls[by], order[by]
-    where = corpus[order]
-    again = np.concatenate([[False], (cls[1:] == cls[:-1]) & (where[1:] == where[:-1])]) if len(cls) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(cls)))) if len(cls) else np.zeros(0, np.int64)
-    one = np.flatnonzero(~again)
-    prior = np.concatenate([[False], cls[one][1:] == cls[one][:-1]]) if len(one) else np.zeros(0, bool)
-    source = np.zeros(len(cls), np.int64)
-    source[one[prior]] = order[one[np.flatnonzero(prior) - 1]]
-    matched = np.zeros(len(cls), bool)
-    matched[one[prior]] = True
-    matched, source = matched[head], source[head]
-    return order[matched], source[matched]
+    usable = (inside + depth <= np.repeat(sizes, sizes))[order]
+    run, order = np.cumsum(~same)[usable], order[usable]
+    several = np.bincount(run, minlength=1)[run] > 1
+    run, order = run[several], order[several]
+    position = (np.repeat(at, sizes) + inside)[order]
+    before = previous_smaller(position, run)
+    after = len(run) - 1 - previous_smaller(position[::-1], run[::-1])[::-1]  # len(run) if there is none
+    factor = np.where(before >= 0, before, after)
+    matched = factor < len(run)
+    return order[matched], order[factor[matched]]
 
 
 def _found(docs: DataFrame, id_col: str, length: int) -> DataFrame:
@@ -149,10 +172,10 @@ def _found(docs: DataFrame, id_col: str, length: int) -> DataFrame:
 
 
 def _neighbourhoods(docs: DataFrame, id_col: str, open_: DataFrame, length: int) -> DataFrame:
-    """The bytes around the anchors of open_ (doc, pos, gram, copies, hot)."""
+    """The bytes around the anchors of open_ (doc, pos, gram, copies, hot); place: of the anchor in them."""
     lists = open_.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("pos", "gram", "copies", "hot")).alias("anchors"))
     met = docs.join(lists, docs[id_col] == lists["__doc"]).select(F.col("__doc").alias("doc"), F.col("text").cast("binary"), "anchors")
-    schema = pa.schema([("doc", pa.int64()), ("gram", pa.int64()), ("copies", pa.int64()), ("hot", pa.bool_()), ("start", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("gram", pa.int64()), ("copies", pa.int64()), ("hot", pa.bool_()), ("start", pa.int64()), ("place", pa.int64()), ("data", pa.binary())])
 
     def work(batches):
         anchors = Anchors(length)
@@ -161,11 +184,14 @@ def _neighbourhoods(docs: DataFrame, id_col: str, open_: DataFrame, length: int)
             for doc, text, held in zip(*(b.column(i).to_pylist() for i in range(3))):
                 for a in held:
                     lo, hi = anchors.bounds(a["pos"], len(text))
-                    rows.append((doc, a["gram"], a["copies"], a["hot"], int(lo), text[lo:hi]))
-            for i in range(0, len(rows), 10_000):
-                yield to_batch(schema, dict(zip(schema.names, zip(*rows[i : i + 10_000]))))
+                    rows.append((doc, a["gram"], a["copies"], a["hot"], int(lo), int(a["pos"] - lo), text[lo:hi]))
+                    if len(rows) == 10_000:
+                        yield to_batch(schema, dict(zip(schema.names, zip(*rows))))
+                        rows = []
+            if rows:
+                yield to_batch(schema, dict(zip(schema.names, zip(*rows))))
 
-    return met.mapInArrow(work, "doc long, gram long, copies long, hot boolean, start long, data binary")
+    return met.mapInArrow(work, "doc long, gram long, copies long, hot boolean, start long, place long, data binary")
 
 
 SPAN = "doc long, lo long, hi long"
@@ -216,36 +242,73 @@ def _by_suffixes(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 if part:
                     yield settle(part)
 
-    dealt = rows.filter("not hot").select("doc", "gram", "copies", "start", "data")
+    dealt = rows.select("doc", "gram", "copies", "start", "data")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return dealt.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(work, SPAN)
 
 
-def _by_counts(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """The same for anchors with very many different neighbourhoods: each string by its hash, counted map-side."""
-    schema = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("copies", pa.int64())])
+def _halves(rows: DataFrame, length: int, first: int, last: int) -> DataFrame:
+    """Of neighbourhoods whose strings begin first..last bytes before the anchor, those that begin closer, and farther.
+
+    gram is then the hash of what all strings of the half share, around that of all bytes of the half.
+    """
+    kinds = [("doc", pa.int64()), ("copies", pa.int64()), ("start", pa.int64()), ("place", pa.int64()), ("data", pa.binary()), ("gram", pa.int64()), ("around", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]
+    schema, middle = pa.schema(kinds), (first + last) // 2
+
+    def number(x: bytes, seed: int) -> int:
+        return xxhash.xxh3_64_intdigest(x, seed) - (1 << 63)
 
     def work(batches):
-        rolling = Rolling()
         for b in batches:
-            for doc, copies, start, data in zip(*(b.column(i).to_pylist() for i in range(4))):
-                prefix = rolling.prefix(np.frombuffer(data, np.uint8))
-                at = np.arange(len(data) - length + 1)
-                a, c = (rolling.hashes(prefix, at, at + k).view(np.int64) for k in (length, length - 1))
-                yield to_batch(schema, {"doc": np.full(len(at), doc), "start": start + at, "a": a, "b": c, "copies": np.full(len(at), copies)})
+            out = []
+            for doc, copies, start, place, data in zip(*(b.column(i).to_pylist() for i in range(5))):
+                for a, z in ((first, middle), (middle + 1, last)):
+                    lo, hi = max(0, place - z), min(len(data), place + length - a)
+                    if hi - lo >= length:
+                        shared = data[place - a : place + length - z]
+                        out.append((doc, copies, start + lo, place - lo, data[lo:hi], number(shared, a * 2 * length + z), number(data[lo:hi], place - lo), a, z))
+            if out:
+                yield to_batch(schema, dict(zip(schema.names, zip(*out))))
+
+    return rows.select("doc", "copies", "start", "place", "data").mapInArrow(work, "doc long, copies long, start long, place long, data binary, gram long, around long, first long, last long")
+
 
-    strings = rows.filter("hot").select("doc", "copies", "start", "data").mapInArrow(work, "doc long, start long, a long, b long, copies long")
+def _open(around: DataFrame, keep_first: bool) -> DataFrame:
+    """gram, hot: grams with several distinct neighbourhoods, one of them with a single position or with one to keep."""
+    lone = F.count(F.when(F.col("copies") == 1, 1))
+    grams = around.groupBy("gram").agg(F.count("*").alias("kinds"), lone.alias("lone"))
+    grams = grams.filter("kinds > 1" if keep_first else "kinds > 1 and lone > 0")
+    return saved(grams.select("gram", (F.col("kinds") > MAX_GROUP).alias("hot")), "open_grams")
+
+
+def _split(rows: DataFrame, length: int, first: int, last: int, keep_first: bool) -> list[DataFrame]:
+    """Spans of what has too many distinct neighbourhoods; the ranges are halved until groups are small."""
+    halves = saved(_halves(rows, length, first, last), "halves")
     place = F.struct("doc", "start")
-    counted = strings.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    met = strings.join(counted, ["a", "b"]).filter(place != F.col("first") if keep_first else F.col("copies") == 1)
-    return met.select("doc", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
+    around = saved(halves.groupBy("gram", "around").agg(F.count("*").alias("n"), F.sum("copies").alias("all"), F.min(place).alias("one")), "halves_around")
+    met = halves.join(around, ["gram", "around"])
+    sure = met.filter("n > 1").filter(place != F.col("one") if keep_first else F.col("copies") == 1)
+    out = [saved(sure.select("doc", F.col("start").alias("lo"), (F.col("start") + F.length("data")).alias("hi")), "spans")]
+    grams = _open(around.select("gram", F.col("all").alias("copies")), keep_first)
+    kept = met.filter(place == F.col("one")).select("doc", F.col("all").alias("copies"), "start", "place", "data", "gram", "first", "last")
+    kept = saved(kept.join(grams, "gram"), "halves_open")
+    out.append(_by_suffixes(kept.filter("not hot"), length, keep_first))
+    middle = (first + last) // 2
+    for a, z in ((first, middle), (middle + 1, last)):
+        hot = kept.filter("hot").filter((F.col("first") == a) & (F.col("last") == z))
+        if not hot.isEmpty():
+            out += _split(hot, length, a, z, keep_first)
+    return out
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH, keep_first: bool = False) -> DataFrame:
-    """doc, lo, hi: bytes of docs (ids unique, not null) that repeated strings cover; spans may overlap."""
+    """doc, lo, hi: bytes of docs (ids unique, not null) that repeated strings cover; spans may overlap.
+
+    Tables are written before they are joined by gram, so that the rows of a frequent gram can be split over tasks.
+    """
     small_batches(docs.sparkSession)
-    found = _found(docs, id_col, length)
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    found = saved(_found(docs, id_col, length), "found")
+    twice = saved(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "twice")
     held = saved(found.join(twice, "gram", "left_semi"), "anchors")
     first = F.min(F.struct("doc", "pos"))
     around = saved(held.groupBy("gram", "around").agg(F.count("*").alias("copies"), first.alias("first")), "around")
@@ -254,14 +317,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH
     if keep_first:
         sure = sure.filter(F.struct("doc", "pos") != F.col("first"))
     sure = sure.select("doc", F.greatest(F.col("pos").cast("long") - reach, F.lit(0)).alias("lo"), (F.col("pos").cast("long") + length).alias("hi"))
-    lone = F.count(F.when(F.col("copies") == 1, 1))
-    grams = around.groupBy("gram").agg(F.count("*").alias("kinds"), lone.alias("lone")).filter("kinds > 1 and lone > 0" if not keep_first else "kinds > 1")
-    open_ = around.join(grams, "gram").select(F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos"), "gram", "copies", (F.col("kinds") > MAX_GROUP).alias("hot"))
+    open_ = around.join(_open(around, keep_first), "gram").select(F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos"), "gram", "copies", "hot")
     rows = saved(_neighbourhoods(docs, id_col, saved(open_, "open"), length), "neighbourhoods")
-    out = sure.unionByName(_by_suffixes(rows, length, keep_first))
-    if not rows.filter("hot").isEmpty():
-        out = out.unionByName(_by_counts(rows, length, keep_first))
-    return out
+    out = [sure, _by_suffixes(rows.filter("not hot"), length, keep_first)]
+    hot = rows.filter("hot")
+    if not hot.isEmpty():
+        out += _split(hot, length, 0, reach, keep_first)
+    return union(out)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, with_text: bool = False) -> DataFrame:
