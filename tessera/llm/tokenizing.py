@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 
 DEFAULT = "byte_bpe_50k.json"
-#: Entries of a worker's cache (some 250 MB); it is emptied when full.
+#: Entries of a worker's cache, of less than 64 code points each (some 250 MB); it is emptied when full.
 CACHE = 1_000_000
 _odd = re.compile(r" (?:\s|(?<=\s.))")
 _bound = re.compile(r"(?<!\s) (?!\s)")
@@ -49,11 +49,9 @@ def begins_with_space(name: str) -> np.ndarray:
 class Encoder:
     """``of(text)`` gives the ids as little-endian unsigned 32-bit bytes, or their number if ``count``."""
 
-    def __init__(self, name: str = DEFAULT, count: bool = False, frequent: dict[str, int] | None = None, limit: int = CACHE) -> None:
+    def __init__(self, name: str = DEFAULT, count: bool = False, limit: int = CACHE) -> None:
         self.library, self.count, self.limit, self.spaced = library(name), count, limit, begins_with_space(name)
-        self.frequent = frequent or {}
-        self.cache: dict = dict(self.frequent)
-        self.misses = 0
+        self.cache: dict = {}
 
     def encode(self, texts: list[str]) -> list:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -71,22 +69,29 @@ class Encoder:
         raw, at = ids.tobytes(), (4 * cuts).tolist()
         return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
 
+    @staticmethod
+    def odd(text: str) -> bool:
+        """Whether a space stands beside other white space, so that not every one begins a pre-token."""
+        return _odd.search(text) is not None
+
     def of(self, text: str | None):
         if not text:
             return 0 if self.count else b""
-        odd = _odd.search(text)
+        odd = self.odd(text)
         parts = _bound.split(text) if odd else text.split(" ")
-        first = self.encode(parts[:1]) if parts[0] else []
-        rest = parts[1:]  # each with a space before it
+        return self.parts(parts[0], parts[1:], odd)
+
+    def parts(self, before: str, rest: list[str], odd: bool = False):
+        """Of a text: what is before the first bound, and the stretches that follow a space each."""
+        first = self.encode([before]) if before else []
         found = list(map(self.cache.get, rest))
         if None in found:
             lost = list(dict.fromkeys(p for p, v in zip(rest, found) if v is None))
             joined = not odd and "" not in lost
             fresh = dict(zip(lost, self.encode_words(lost) if joined else self.encode([" " + p for p in lost])))
-            self.misses += len(lost)
             found = [fresh[p] if v is None else v for p, v in zip(rest, found)]
             if len(self.cache) + len(fresh) > self.limit:
-                self.cache = dict(self.frequent)
+                self.cache = {}
             self.cache.update(fresh if max(map(len, lost)) < 64 else {p: v for p, v in fresh.items() if len(p) < 64})
         return sum(first) + sum(found) if self.count else b"".join(first + found)
 
@@ -94,10 +99,10 @@ class Encoder:
 _kept: dict = {}
 
 
-def worker_encoder(name: str = DEFAULT, count: bool = False, frequent: dict[str, int] | None = None) -> Encoder:
+def worker_encoder(name: str = DEFAULT, count: bool = False) -> Encoder:
     """The worker process's encoder: its cache lasts from task to task.  One at a time is kept."""
     key = (name, count)
     if key not in _kept:
         _kept.clear()
-        _kept[key] = Encoder(name, count, frequent)
+        _kept[key] = Encoder(name, count)
     return _kept[key]
