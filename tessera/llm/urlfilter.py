@@ -7,10 +7,14 @@ level 0 holds wrongly; level 2 the listed keys that level 1 holds wrongly, and s
 Over the corpus's keys, membership is then exact, with no join when urls are judged.
 
 Level 0 errs on at most about as many corpus keys as there are listed keys (its size follows the logarithm of their
-ratio), and later levels err on half, so the whole cascade is bounded by the list's size, not by the corpus.
+ratio), and later levels err on half, so the whole cascade is bounded by the list's size, not by the corpus.  A level is
+one binary literal in the plan, made of bitmaps that are aggregated in the cluster; a list whose cascade would be larger
+than ``max_bytes`` is not put into plans, but joined with the candidate keys, with the same result.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule; an url that no rule fits
-is allowed; of the rules that fit, the longest key wins; further columns are not read.
+is allowed; of the rules that fit, the longest key wins; a key that is listed with both verdicts blocks; repeated rows
+and null ids are judged each; an empty table gives no rows; columns but page_id and url are not read, whatever their
+names; a very long url gives as many candidates as it has host labels, times the lengths of rules' paths.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +30,8 @@ from .common import saved, union
 
 #: (verdict, host, path) of the contract.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: No cascade may grow beyond this; a longer list needs a larger bound, given by the caller.
-MAX_BYTES = 64 << 20
+#: A cascade's first level in a plan is at most this large.
+MAX_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,37 +51,39 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
 
 @dataclass(frozen=True)
 class Bloom:
-    words: list[int]
+    """bits, seven to a byte, so that each byte is one character to SQL."""
+
+    data: bytes
     bits: int
     hashes: int
     seed: int
 
     @classmethod
     def of(cls, keys: DataFrame, n: int, rate: float, seed: int) -> Bloom:
-        """Of a column ``key``; only the words of bits come to the driver, as many as n and rate ask for."""
+        """Of a column ``key``; only bitmaps come to the driver, as many bits as n and rate ask for."""
         bits = max(64, 64 * math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
-        hashes = max(1, round(bits / n * math.log(2)))
-        hashes = min(hashes, 16)
-        places = keys.select(F.explode(F.array(*[_place(F.col("key"), bits, seed, i) for i in range(hashes)])).alias("at"))
-        found = places.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("value")).collect()
-        words = [0] * (bits // 64)
+        hashes = min(max(1, round(bits / n * math.log(2))), 16)
+        at = keys.select(F.explode(_places(F.col("key"), bits, seed, hashes)).alias("at"))
+        found = at.groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bitmap")).collect()
+        each = 8 * 4096
+        held = np.zeros(math.ceil(bits / each) * each, np.uint8)
         for r in found:
-            words[r.word] = r.value
-        return cls(words, bits, hashes, seed)
+            held[(r.bucket - 1) * each : r.bucket * each] = np.unpackbits(np.frombuffer(r.bitmap, np.uint8), bitorder="little")
+        held = np.concatenate([held[:bits], np.zeros(-bits % 7, np.uint8)]).reshape(-1, 7)
+        return cls((held << np.arange(7, dtype=np.uint8)).sum(1, dtype=np.uint8).tobytes(), bits, hashes, seed)
 
     def holds(self, key: Column) -> Column:
-        table = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        out = None
-        for i in range(self.hashes):
-            at = _place(key, self.bits, self.seed, i)
-            word = F.get(table, F.floor(at / 64).cast("int"))
-            bit = word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
-            out = bit if out is None else out & bit
-        return out
+        table = F.lit(self.data)
+
+        def set_(at: Column) -> Column:
+            byte = F.ascii(F.substring(table, F.floor(at / 7).cast("int") + 1, F.lit(1)).cast("string"))
+            return F.call_function("shiftright", byte, (at % 7).cast("int")).bitwiseAND(F.lit(1)) != 0
 
+        return F.forall(_places(key, self.bits, self.seed, self.hashes), lambda at: set_(at))
 
-def _place(key: Column, bits: int, seed: int, i: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed * 64 + i), key), F.lit(bits).cast("long"))
+
+def _places(key: Column, bits: int, seed: int, hashes: int) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(F.lit(seed * 64 + i), key), F.lit(bits).cast("long")) for i in range(hashes)])
 
 
 @dataclass(frozen=True)
@@ -84,8 +91,8 @@ class Cascade:
     levels: list[Bloom]
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade:
-        """Of two columns ``key``; universe may hold keys many times over."""
+    def build(cls, listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade | None:
+        """Of two columns ``key``; universe may hold keys many times over.  None if it would be too large."""
         listed = saved(listed.select("key").distinct(), "listed")
         n = listed.count()
         if not n:
@@ -94,7 +101,7 @@ class Cascade:
         rate = min(0.5, max(1e-9, n / max(1, seen)))
         need = -n * math.log(rate) / math.log(2) ** 2 / 8
         if need > max_bytes:
-            raise ValueError(f"{n} listed keys need {need:.0f} bytes, over the bound of {max_bytes}")
+            return None
         levels = [Bloom.of(listed, n, rate, 0)]
         wrong = saved(universe.filter(levels[0].holds(F.col("key"))).distinct().join(listed, "key", "left_anti"), "wrong")
         inside, outside, count = listed, wrong, wrong.count()
@@ -118,21 +125,38 @@ def _hits(keys: Column, cascade: Cascade, verdict: str) -> Column:
     return F.transform(listed, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(verdict).alias("verdict")))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row."""
+def _by_join(keyed: DataFrame, listed: DataFrame, verdict: str) -> DataFrame:
+    """row, and found (the longest listed candidate): what a cascade tells, for lists that are too long for one."""
+    keys = keyed.select("row", F.explode("keys").alias("key")).join(listed.distinct().hint("merge"), "key", "left_semi")
+    return keys.groupBy("row").agg(F.max(F.struct(F.length("key").alias("n"), "key", F.lit(verdict).alias("verdict"))).alias("found"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row.  rules: (verdict, host, path), as a list or as a DataFrame of these columns."""
     spark, rules = pages.sparkSession, RULES if rules is None else rules
-    lengths = sorted({len(p) for _, _, p in rules})
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(rules, "verdict string, host string, path string")
+    rules = saved(rules.select("verdict", F.length("path").alias("n"), F.concat("host", "path").alias("key")), "rules")
+    lengths = sorted(r.n for r in rules.select("n").distinct().collect())  # of paths, so few
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    if not rules:
+    if not lengths:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
     keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-    universe = union([keyed.select(F.explode("keys").alias("key")), spark.createDataFrame([(h + p,) for _, h, p in rules], "key string")])
-    found = []
+    universe = union([keyed.select(F.explode("keys").alias("key")), rules.select("key")])
+    found, far = [], []
     for verdict in ("allow", "block"):
-        listed = spark.createDataFrame([(h + p,) for v, h, p in rules if v == verdict], "key string")
-        cascade = Cascade.build(listed, universe)
-        found.append(_hits(F.col("keys"), cascade, verdict))
+        listed = rules.filter(F.col("verdict") == verdict).select("key")
+        cascade = Cascade.build(listed, universe, max_bytes)
+        if cascade:
+            found.append(_hits(F.col("keys"), cascade, verdict))
+        else:
+            far.append((verdict, listed))
+    if far:
+        keyed = saved(keyed.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    for i, (verdict, listed) in enumerate(far):
+        keyed = keyed.join(_by_join(keyed, listed, verdict).withColumnRenamed("found", f"found{i}"), "row", "left")
+        found.append(F.array_compact(F.array(f"found{i}")))
     best = keyed.withColumn("best", F.array_max(F.concat(*found)))
     return best.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit("allow")).alias("verdict"))
 
