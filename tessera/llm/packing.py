@@ -205,5 +205,5 @@ def pack(docs: DataFrame, tokenizer: str = DEFAULT, capacity: int = 2048, end_id
                 sequence[own], offset[own] = at[i] + rank[own] - first[i], off[i]
             yield to_batch(schema, {n: b.column(n) for n in schema.names[:5]} | {"sequence_id": sequence, "offset": offset})
 
-    spots = ranked(cut, "length", ["doc_id", "piece"], int(histogram.sum()))
+    spots = ranked(cut, "length", ["doc_id", "piece", "ids_crc32"], int(histogram.sum()), buckets=64)
     return spots.mapInArrow(place, PIECES + ", sequence_id long, offset long")
