@@ -1,4 +1,7 @@
-"""``python -m tessera.cli --data-dir DIR [-c SQL | -f FILE] [--log-json FILE]``; without -c and -f it reads statements."""
+"""``python -m tessera.cli --data-dir DIR [-c SQL | -f FILE] [--log-json FILE]``; without -c and -f it reads statements.
+
+A statement typed in goes on until a line ends with a semicolon; ``\\q`` or the end of input ends the session.  - stands for
+standard input as FILE of -f, and for standard output as that of --log-json."""
 
 from __future__ import annotations
 
@@ -38,9 +41,26 @@ def main(args: list[str] | None = None) -> int:
         return int(not run(engine, a.command))
     if a.file:
         return int(not run(engine, sys.stdin.read() if a.file == "-" else open(a.file).read()))
-    for line in iter(lambda: input("tessera> "), "\\q"):
-        run(engine, line)
-    return 0
+    return shell(engine)
+
+
+def shell(engine: Engine) -> int:
+    text = ""
+    while True:
+        try:
+            line = input("     -> " if text else "tessera> ")
+        except EOFError:
+            line = "\\q"
+        if line.strip() == "\\q":
+            if text.strip():
+                run(engine, text)
+            return 0
+        if not text and not line.strip():
+            continue
+        text += line + "\n"
+        if line.rstrip().endswith(";") and text.count("'") % 2 == 0 or text.startswith("\\"):
+            run(engine, text)
+            text = ""
 
 
 if __name__ == "__main__":

@@ -8,13 +8,18 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import EngineError, ParseError
+from ..errors import CatalogError, EngineError, ParseError, TypeMismatch
 from ..functions.types import compare
+from ..operators.comparators import ordered
+from ..operators.recursion import Worktables
 from ..sources.store import Store, Transaction
+from . import telemetry
+from .binding import Plans, masked
 from .catalog import Catalog
 
 LITERAL = r"(?:'(?:[^']|'')*'|[^\s,()']+)"
@@ -26,7 +31,9 @@ class CommandMetrics:
     text: str
     kind: str
     ok: bool = True
+    verb: str = ""
     rows: int = 0
+    bytes: int = 0
     seconds: float = 0.0
     correlation_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     message: str = ""
@@ -72,12 +79,21 @@ def split_list(text: str) -> list[str]:
     return [p.strip() for p in [*out, part] if p.strip()]
 
 
+#: Spark's bounds on recursive queries, which the engine lifts.
+RECURSION = ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit")
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, log: str | None = None) -> None:
-        self.spark, self.store, self.log = spark, Store(spark, root), log
+    """Runs statements.  log: a path for one JSON line a command, or - for standard output; sink: is given each query's
+    text with its logical plan, physical plan and planner diagnostics."""
+
+    def __init__(self, spark: SparkSession, root: str, log: str | None = None, sink=None) -> None:
+        self.spark, self.store, self.log, self.sink = spark, Store(spark, root), log, sink
+        self.plans, self.telemetry, self.worktables = Plans(spark), telemetry.Telemetry(), Worktables(spark)
         self.txn: Transaction | None = None
         self.metrics: list[CommandMetrics] = []
-        self.views: list[str] = []
+        for key in RECURSION:
+            spark.conf.set(key, "-1")
 
     # statements
     def sql(self, text: str) -> DataFrame | None:
@@ -85,13 +101,19 @@ class Engine:
         text = text.strip().rstrip(";").strip()
         word = text.split(None, 1)[0].lower() if text else ""
         kind = "meta" if text.startswith("\\") else "dml" if word in (*QUERY, "insert", "update", "delete") else "txn" if word in ("begin", "commit", "rollback") else "ddl"
-        m, began, out = CommandMetrics(text, kind), time.time(), None
+        verb = " ".join(text.split(None, 2)[:2]).lower() if kind == "ddl" else word
+        m, began, out = CommandMetrics(text, kind, verb=verb), time.time(), None
+        rejected = False
         try:
             out = self._run(word, text, m)
         except PySparkException as e:
+            rejected = type(e).__name__ == "ParseException"
             m.ok, m.severity, m.message = False, "error", str(e).split("\n")[0]
-            raise EngineError(m.message) from e
+            if self.txn:
+                self.txn.failed = True
+            raise (ParseError if rejected else EngineError)(m.message) from e
         except EngineError as e:
+            rejected = isinstance(e, ParseError)
             m.ok, m.severity, m.message, m.hints = False, e.severity, str(e), e.hints
             if self.txn:
                 self.txn.failed = True
@@ -99,13 +121,37 @@ class Engine:
         finally:
             m.seconds = time.time() - began
             self.metrics.append(m)
-            if self.log:
+            self.telemetry.verb(verb, m.ok, m.seconds, rejected)
+            if m.ok and word in ("insert", "update", "delete"):
+                self.telemetry.wrote(word, m.rows, m.bytes, m.seconds)
+            if self.log == "-":
+                print(m.json())
+            elif self.log:
                 with open(self.log, "a") as f:
                     f.write(m.json() + "\n")
         return out
 
     def script(self, text: str) -> list[DataFrame | None]:
-        return [self.sql(s) for s in split_script(text)]
+        """All statements in order; a script of definitions only takes effect as a whole or not at all."""
+        statements = split_script(text)
+        words = [s.split(None, 1)[0].lower() for s in statements]
+        if self.txn or len(words) < 2 or not all(w in ("create", "drop", "alter") for w in words):
+            return [self.sql(s) for s in statements]
+        self.sql("BEGIN")
+        try:
+            out = [self.sql(s) for s in statements]
+        except EngineError:
+            self.sql("ROLLBACK")
+            raise
+        self.sql("COMMIT")
+        return out
+
+    def collect(self, text: str) -> list:
+        """Rows of a query, whose operators' rows and times go to the telemetry."""
+        df = self.sql(text)
+        rows = df.collect()
+        self.telemetry.ran(telemetry.executed(df))
+        return rows
 
     def _run(self, word: str, text: str, m: CommandMetrics) -> DataFrame | None:
         if word == "begin":
@@ -145,7 +191,9 @@ class Engine:
         if word in QUERY:
             return self.query(text, catalog)
         if word in ("insert", "update", "delete"):
+            catalog.txn.bytes = 0
             m.rows = getattr(self, f"_{word}")(text, catalog)
+            m.bytes = catalog.txn.bytes
             return None
         for pattern, make in DDL:
             if found := re.fullmatch(pattern, text, re.I | re.S):
@@ -156,6 +204,8 @@ class Engine:
     # queries
     def query(self, text: str, catalog: Catalog) -> DataFrame:
         """Tables and views of the transaction's snapshot become temporary views; their names in the text follow."""
+        if found := re.fullmatch(r"explain(?:\s+(extended|codegen|cost|formatted|analyze|logical|rules))?\s+(.+)", text, re.I | re.S):
+            return self.spark.createDataFrame([(self.explain(found[2], (found[1] or "formatted").lower()),)], "plan string")
         prefix = f"t{uuid.uuid4().hex[:8]}"
         names: dict[str, str] = {}
         for d, db in catalog.databases.items():
@@ -167,38 +217,47 @@ class Engine:
                         names[f"{s}.{t}"] = alias
                         if s == catalog.schema:
                             names[t] = alias
-        made: set[str] = set()
-
-        def rewritten(sql: str) -> str:
-            def one(x: re.Match) -> str:
-                name = x[2].lower()
-                if name not in names:
-                    return x[0]
-                declare(name)
-                tail = "" if x[3] else f" AS {name.split('.')[-1]}"
-                return f"{x[1]}{names[name]}{tail}{x[3] or ''}"
-
-            keyword = r"(?:from|select|where|join|inner|left|right|full|cross|on|group|order|limit|offset|union|having)\b"
-            return re.sub(rf"(\b(?:from|join)\s+|,\s*)([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*){{0,2}})(?![\w.$(])(\s+(?:as\s+[A-Za-z_][\w$]*|(?!{keyword})[A-Za-z_][\w$]*))?", lambda x: one(x) if x[1].strip() != "," or _in_from(x.string, x.start()) else x[0], sql, flags=re.I)
-
-        def declare(name: str) -> None:
-            alias = names[name]
-            if alias in made:
-                return
-            made.add(alias)
-            d, s, t = next(k for k, v in names.items() if v == alias and k.count(".") == 2).split(".")
-            schema = catalog.databases[d]["schemas"][s]
-            df = catalog.txn.rows(f"{d}.{s}.{t}") if t in schema["tables"] else self.spark.sql(rewritten(schema["views"][t]["text"]))
-            df.createOrReplaceTempView(alias)
-
-        out = self.spark.sql(rewritten(text))
-        for alias in made:
-            self.spark.catalog.dropTempView(alias)  # the plan is bound already
+        made: dict[str, str] = {}
+
+        def declared(name: str) -> str | None:
+            """The temporary view that stands for a name; made when first asked for."""
+            alias = names.get(name)
+            if alias and alias not in made:
+                made[alias] = next(k for k, v in names.items() if v == alias and k.count(".") == 2)
+                d, s, t = made[alias].split(".")
+                schema = catalog.databases[d]["schemas"][s]
+                df = catalog.txn.rows(f"{d}.{s}.{t}") if t in schema["tables"] else self.spark.sql(self.plans.renamed(schema["views"][t]["text"], declared))
+                df.createOrReplaceTempView(alias)
+            return alias
+
+        try:
+            self.plans.check_aliases(self.plans.parse(text))
+            out = self.spark.sql(self.plans.renamed(text, declared))
+            self.plans.check_types(out)
+            out = out.toDF(*self.plans.output_names(text, out.columns))
+            self.names = {alias: name for alias, name in made.items()}
+            if self.sink:
+                self.sink({"text": text, "logical": telemetry.logical(self.plans, out, self.names), "physical": _explained(self.spark, out, "formatted"), "diagnostics": telemetry.rules(out)})
+        except Py4JJavaError as e:  # the parser is asked directly
+            raise ParseError(str(e.java_exception.getMessage()).strip().split("\n")[0]) from e
+        finally:
+            for alias in made:
+                self.spark.catalog.dropTempView(alias)  # the plan is bound already
         return out
 
+    def index_rows(self, name: str) -> DataFrame:
+        """The table's rows that an index has, in its order."""
+        catalog = Catalog(self.txn or Transaction(self.store))
+        d, s, i = catalog.resolve(name)
+        held = catalog.databases.get(d, {}).get("schemas", {}).get(s, {}).get("indexes", {}).get(i)
+        if held is None:
+            raise CatalogError(f"Index '{name}' does not exist")
+        rows = catalog.txn.rows(f"{d}.{s}.{held['table']}")
+        return ordered(rows.filter(held["predicate"]) if held["predicate"] else rows, held["columns"], held["comparator"])
+
     # DML
     def _insert(self, text: str, catalog: Catalog) -> int:
-        found = re.fullmatch(r"insert\s+into\s+([\w.$]+)\s*\(([^)]*)\)\s*values\s*(.+)", text, re.I | re.S)
+        found = cut(r"insert\s+into\s+([\w.$]+)\s*\(([^)]*)\)\s*values\s*(.+)", text)
         if not found:
             raise ParseError("Expected INSERT INTO table (columns) VALUES (...)")
         table, columns = catalog.table(found[1]), [c.strip().lower() for c in found[2].split(",")]
@@ -207,10 +266,13 @@ class Engine:
         rows = split_list(found[3])
         if any(not r.startswith("(") or len(split_list(r[1:-1])) != len(columns) for r in rows):
             raise ParseError("Each row needs a value for each column")
+        kinds = {c["name"]: c["kind"] for c in table["columns"]}
         for r in rows:
-            for v in split_list(r[1:-1]):
+            for c, v in zip(columns, split_list(r[1:-1])):
                 if not re.fullmatch(r"null|true|false|[+-]?\d+(?:\.\d+)?|'(?:[^']|'')*'", v, re.I | re.S):
                     raise ParseError(f"Only literals may be inserted, not {v}")
+                if v.lower() != "null" and not re.fullmatch(r"'.*'" if kinds[c] == "utf8" else r"[+-]?\d+", v, re.S):
+                    raise TypeMismatch(f"Column '{c}' does not take {v}.", "Give a quoted text." if kinds[c] == "utf8" else "Give a whole number.")
         data = self.spark.sql(f"SELECT * FROM VALUES {found[3]} AS v({', '.join(f'`{c}`' for c in columns)})")
         return catalog.txn.insert(catalog.full(found[1]), data)
 
@@ -221,7 +283,7 @@ class Engine:
         return F.expr(text)
 
     def _update(self, text: str, catalog: Catalog) -> int:
-        found = re.fullmatch(r"update\s+([\w.$]+)\s+set\s+(\w+)\s*=\s*(.+?)\s+where\s+(.+)", text, re.I | re.S)
+        found = cut(r"update\s+([\w.$]+)\s+set\s+(\w+)\s*=\s*(.+?)\s+where\s+(.+)", text)
         if not found:
             raise ParseError("Expected UPDATE table SET column = value WHERE condition")
         name, column = catalog.full(found[1]), found[2].lower()
@@ -229,10 +291,11 @@ class Engine:
         df = catalog.txn.rows(name)
         value = F.expr(found[3])
         compare(df, F.col(column), "=", value)
-        return catalog.txn.update(name, column, value.cast(df.schema[column].dataType), self._where(df, found[4]))
+        text = df.schema[column].dataType.typeName() == "string"
+        return catalog.txn.update(name, column, value.cast("string" if text else "bigint"), self._where(df, found[4]))
 
     def _delete(self, text: str, catalog: Catalog) -> int:
-        found = re.fullmatch(r"delete\s+from\s+([\w.$]+)\s+where\s+(.+)", text, re.I | re.S)
+        found = cut(r"delete\s+from\s+([\w.$]+)\s+where\s+(.+)", text)
         if not found:
             raise ParseError("Expected DELETE FROM table WHERE condition")
         name = catalog.full(found[1])
@@ -254,14 +317,30 @@ class Engine:
         names = [x.split()[0] for x in self.SYSTEM[what].split(", ")]
         return self.spark.createDataFrame([tuple(r[n] for n in names) for r in rows], self.SYSTEM[what])
 
-    def explain(self, text: str) -> str:
-        return self.query(text, Catalog(self.txn or Transaction(self.store)))._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-
-
-def _in_from(sql: str, at: int) -> bool:
-    """Whether the last clause begun before ``at`` is FROM."""
-    words = re.findall(r"\b(select|from|where|group|order|limit|on|values|having)\b", re.sub(r"'(?:[^']|'')*'", "", sql[:at]), re.I)
-    return bool(words) and words[-1].lower() in ("from", "on")
+    def explain(self, text: str, mode: str = "formatted") -> str:
+        """The plan of a query.  Modes: logical; formatted, cost and Spark's others; analyze runs it and gives rows and times; rules."""
+        df = self.query(text, Catalog(self.txn or Transaction(self.store)))
+        if mode == "logical":
+            return telemetry.logical(self.plans, df, self.names)
+        if mode == "rules":
+            df._jdf.queryExecution().executedPlan()
+            return json.dumps(telemetry.rules(df))
+        if mode == "analyze":
+            df.collect()
+            nodes = telemetry.executed(df)
+            self.telemetry.ran(nodes)
+            return telemetry.with_figures(nodes)
+        return _explained(self.spark, df, mode)
+
+
+def _explained(spark: SparkSession, df: DataFrame, mode: str) -> str:
+    return df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+
+
+def cut(pattern: str, text: str) -> list[str] | None:
+    """A pattern's groups, from 1 on, in the text; what quotes hold is not looked at."""
+    found = re.fullmatch(pattern, masked(text), re.I | re.S)
+    return found and [text, *(text[a:b] for a, b in (found.span(i + 1) for i in range(found.re.groups)))]
 
 
 def _columns(catalog: Catalog, found: re.Match) -> None:
