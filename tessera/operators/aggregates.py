@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +18,17 @@ def first_row(df: DataFrame, keys: list[str], order: str, columns: list[str], *a
 
 @dataclass(frozen=True)
 class Aggregate:
-    """A user-defined aggregate: what each row adds to named sums, and the value made of them.
+    """A user-defined aggregate: what each row brings to named states, how states merge, and the value made of them.
 
-    As states are sums they merge, so Spark combines them before the shuffle and no Python runs.
+    A state is merged by its entry in ``merge`` (F.sum, F.max, F.bit_or, ...; F.sum if it has none).  As states merge,
+    Spark combines them before the shuffle, and no Python runs.
     """
 
     name: str
     accumulate: dict[str, Column]
     project: Column
+    merge: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
     def over(self, df: DataFrame, *keys: str) -> DataFrame:
-        states = df.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in self.accumulate.items()])
+        states = df.groupBy(*keys).agg(*[self.merge.get(n, F.sum)(c).alias(n) for n, c in self.accumulate.items()])
         return states.select(*keys, self.project.alias(self.name))

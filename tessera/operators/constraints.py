@@ -40,21 +40,40 @@ def null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.filter(~_not_null(keys))
 
 
-def enforce(rows: DataFrame, constraints: list[dict], lookup) -> None:
-    """Foreign keys first, then unique ones, each in order of their ids; rows is the table as it would become.
+def _present(keys: DataFrame, rows: DataFrame, names: list[str], small: bool) -> DataFrame:
+    """Which of the keys rows have.  Few keys go to the rows, which then are neither shuffled nor sorted."""
+    held = rows.select(*[F.col(k).alias(n) for k, n in zip(names, keys.columns)])
+    if small:
+        return held.join(F.broadcast(keys), keys.columns)
+    return keys.join(held, keys.columns, "left_semi")
 
-    lookup(name) gives the rows of a referenced table.
+
+def enforce(fresh: DataFrame, constraints: list[dict], lookup, rest: DataFrame | None = None, small: bool = False) -> None:
+    """Foreign keys first, then unique ones, each in order of their ids.
+
+    fresh: the rows to be checked; lookup(name) gives the rows of a referenced table; rest: the others of the table, if
+    any, which are sound among themselves; small: whether the keys of fresh may be broadcast.
     """
     order = {"foreign_key": 0, "primary_key": 1, "unique": 1, "not_null": 2}
     for c in sorted(constraints, key=lambda c: (order[c["kind"]], c["id"])):
+        if c["kind"] == "not_null":
+            if not null_keys(fresh, c["columns"]).isEmpty():
+                raise ConstraintViolation(f"Column '{c['columns'][0]}' must not be NULL.")
+            continue
+        asked = fresh.filter(c["predicate"]) if c.get("predicate") else fresh
+        keys = asked.filter(_not_null(c["columns"])).select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(c["columns"])])
         if c["kind"] == "foreign_key":
-            if not orphans(rows, c["columns"], lookup(c["parent"]), c["parent_columns"]).isEmpty():
+            keys = keys.distinct()
+            there = _present(keys, lookup(c["parent"]), c["parent_columns"], small).distinct()
+            if not keys.join(there, keys.columns, "left_anti").isEmpty():
                 raise ForeignKeyViolation(c["name"])
-        elif c["kind"] == "not_null":
-            if not null_keys(rows, c["columns"]).isEmpty():
-                raise ConstraintViolation(f"Column '{c['columns'][0]}' must not be NULL.")
-        else:
-            if c["kind"] == "primary_key" and not null_keys(rows, c["columns"]).isEmpty():
-                raise UniqueViolation(c["name"])
-            if not duplicate_keys(rows, c["columns"], c.get("predicate")).isEmpty():
-                raise UniqueViolation(c["name"])
+            continue
+        if c["kind"] == "primary_key" and not null_keys(fresh, c["columns"]).isEmpty():
+            raise UniqueViolation(c["name"])
+        if not duplicate_keys(fresh, c["columns"], c.get("predicate")).isEmpty():
+            raise UniqueViolation(c["name"])
+        if rest is None:
+            continue
+        others = rest.filter(c["predicate"]) if c.get("predicate") else rest
+        if not _present(keys, others, c["columns"], small).isEmpty():
+            raise UniqueViolation(c["name"])

@@ -24,9 +24,14 @@ def lateral(outer: DataFrame, inner: DataFrame, condition: Callable[[DataFrame,
     return outer.join(inner, condition(outer, inner))
 
 
-def greedy(frames: dict[str, DataFrame], sizes: dict[str, int], on: dict[frozenset, list[str]]) -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate, from file sizes and column statistics; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def greedy(frames: dict[str, DataFrame], on: dict[frozenset, list[str]], sizes: dict[str, int] | None = None) -> DataFrame:
     """Join connected frames, the two smallest first; ``on`` has the columns by pair of names."""
-    groups = [(sizes[n], {n}, df) for n, df in frames.items()]
+    groups = [(sizes[n] if sizes else estimated_bytes(df), {n}, df) for n, df in frames.items()]
     while len(groups) > 1:
         pairs = [(a[0] + b[0], i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j and _columns(a[1], b[1], on)]
         if not pairs:

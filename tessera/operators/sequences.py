@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SequenceExhausted
+from .recursion import stable
 
 
 @dataclass
@@ -37,7 +38,7 @@ class Sequence:
 
 def assign(df: DataFrame, order: list[str], name: str, start: int = 1, increment: int = 1, buckets: int = 256) -> DataFrame:
     """Numbers rows in order without one task for all: ranges of the first column are numbered apart, then shifted."""
-    ranged = df.repartitionByRange(buckets, *order).withColumn("__p", F.spark_partition_id()).persist()
+    ranged = stable(df.repartitionByRange(buckets, *order).withColumn("__p", F.spark_partition_id()))
     local = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
     sizes = ranged.groupBy("__p").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,8 +1,9 @@
 """Versioned parquet tables under one manifest.
 
-The manifest lists the data files of every table; it is replaced by an atomic rename, so readers see one version
-or the next.  Data files are never changed: an insert adds files, an update or delete rewrites only the files that hold
-matching rows.  A transaction works on a pinned manifest and commits if no table it wrote was changed meanwhile.
+Each version of the manifest is a file of its own that lists the data files of every table.  A commit creates the next
+version's file, which fails if it is there already; then the commit looks at the new head and tries again, so of two
+writers none is lost.  Data files are never changed: an insert adds files, an update or delete rewrites only the files
+that hold matching rows.  A transaction works on a pinned manifest and commits if no table it wrote was changed meanwhile.
 """
 
 from __future__ import annotations
@@ -11,15 +12,20 @@ import copy
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import EngineError, RangeViolation, TransactionConflict
-from ..functions.types import SPARK, in_range
+from ..errors import EngineError, RangeViolation, TransactionConflict, TypeMismatch
+from ..functions.types import RANGES, SPARK, family, in_range
 from ..operators.constraints import enforce
 
 ROW_ID = "__row_id"
+#: Versions of the manifest that a vacuum leaves; a commit that has been under way for longer could not be told from a new one.
+KEPT = 1000
+#: Rows whose keys are broadcast to the table that they are checked against, rather than joined by a shuffle.
+SMALL = 100_000
 
 
 class Files:
@@ -53,6 +59,35 @@ class Files:
         self.jvm.java.lang.reflect.Array.set(options, 0, over)
         self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(fresh, self.path(name), options)
 
+    def create(self, name: str, text: str) -> bool:
+        """The file appears whole, or not at all if there is one of that name already."""
+        fresh = self.path(f".{name}.{uuid.uuid4().hex}")
+        stream = self.fs.create(fresh)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        try:
+            if self.fs.getUri().getScheme() == "file":  # a rename would replace; a second name for the file does not
+                here, there = (self.jvm.java.io.File(self.fs.makeQualified(p).toUri().getPath()).toPath() for p in (fresh, self.path(name)))
+                self.jvm.java.nio.file.Files.createLink(there, here)
+            else:
+                none = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                options = self.jvm.java.lang.reflect.Array.newInstance(none.getClass(), 1)
+                self.jvm.java.lang.reflect.Array.set(options, 0, none)
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(fresh, self.path(name), options)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            self.fs.delete(fresh, False)
+
+    def names(self, prefix: str) -> list[str]:
+        return sorted(n for s in self.fs.listStatus(self.path("")) if (n := s.getPath().getName()).startswith(prefix))
+
+    def size(self, names: list[str]) -> int:
+        return sum(self.fs.getFileStatus(self.path(n)).getLen() for n in names)
+
     def parquet(self, folder: str) -> list[str]:
         names = [s.getPath().getName() for s in self.fs.listStatus(self.path(folder))]
         return [f"{folder}/{n}" for n in sorted(names) if n.endswith(".parquet")]
@@ -72,39 +107,44 @@ class Store:
         self.spark, self.files = spark, Files(spark, root)
 
     def head(self) -> dict:
-        text = self.files.read("manifest.json")
-        return json.loads(text) if text else {"version": 0, "next_id": 1, "next_txn": 1, "databases": {}}
+        for name in reversed(self.files.names("manifest-")):
+            if text := self.files.read(name):
+                return json.loads(text)
+        return {"version": 0, "next_id": 1, "next_txn": 1, "databases": {}}
 
     def commit(self, base: dict, new: dict, written: set[str], changed_catalog: bool) -> dict:
         """new becomes the head; raises if the head has other versions of the written tables than base."""
-        head = self.head()
-        if head["version"] != base["version"]:
-            if changed_catalog:
-                raise TransactionConflict("The catalog was changed by another transaction.", "Run the statement again.")
-            for name in written:
-                if _entry(head, name) is None or _entry(head, name)["version"] != _entry(base, name)["version"]:
-                    raise TransactionConflict(f"Table '{name}' was changed by another transaction.", "Run the transaction again.")
-            merged = copy.deepcopy(head)
-            for name in written:
-                _entry(merged, name).update(_entry(new, name))
-            new = merged
-        new["version"] = head["version"] + 1
-        new["next_txn"] = max(new["next_txn"], head["next_txn"])
-        self.files.replace("manifest.json", json.dumps(new))
-        return new
-
-    def rows(self, manifest: dict, name: str, hidden: bool = False) -> DataFrame:
+        while True:
+            head, out = self.head(), new
+            if head["version"] != base["version"]:
+                if changed_catalog:
+                    raise TransactionConflict("The catalog was changed by another transaction.", "Run the statement again.")
+                for name in written:
+                    if _entry(head, name) is None or _entry(head, name)["version"] != _entry(base, name)["version"]:
+                        raise TransactionConflict(f"Table '{name}' was changed by another transaction.", "Run the transaction again.")
+                out = copy.deepcopy(head)
+                for name in written:
+                    _entry(out, name).update(_entry(new, name))
+            out["version"] = head["version"] + 1
+            for k in ("next_txn", "next_id"):
+                out[k] = max(new[k], head[k])
+            if self.files.create(f"manifest-{out['version']:012d}.json", json.dumps(out)):
+                return out
+
+    def rows(self, manifest: dict, name: str, hidden: bool = False, raw: bool = False) -> DataFrame:
+        """hidden: with row ids; raw: whole numbers as files hold them, all as bigint."""
         table = _entry(manifest, name)
-        full = T.StructType([T.StructField(c["field"], SPARK[c["kind"]]) for c in table["columns"]] + [T.StructField(ROW_ID, T.LongType())])
+        stored = lambda c: T.StringType() if c["kind"] == "utf8" else T.LongType()
+        full = T.StructType([T.StructField(c["field"], stored(c)) for c in table["columns"]] + [T.StructField(ROW_ID, T.LongType())])
         if table["files"]:
             df = self.spark.read.schema(full).parquet(*[f"{self.files.root}/{f}" for f in table["files"]])
         else:
             df = self.spark.createDataFrame([], full)
-        return df.select(*[F.col(c["field"]).alias(c["name"]) for c in table["columns"]], *([ROW_ID] if hidden else []))
+        return df.select(*[(F.col(c["field"]) if raw else F.col(c["field"]).cast(SPARK[c["kind"]])).alias(c["name"]) for c in table["columns"]], *([ROW_ID] if hidden else []))
 
     def write(self, table: dict, df: DataFrame) -> list[str]:
         folder = f"data/{table['id']}/{uuid.uuid4().hex}"
-        df.select(*[F.col(c["name"]).alias(c["field"]) for c in table["columns"]], ROW_ID).write.parquet(f"{self.files.root}/{folder}")
+        df.select(*[F.col(c["name"]).cast("string" if c["kind"] == "utf8" else "bigint").alias(c["field"]) for c in table["columns"]], ROW_ID).write.parquet(f"{self.files.root}/{folder}")
         return self.files.parquet(folder)
 
     def vacuum(self) -> int:
@@ -121,6 +161,8 @@ class Store:
                 for n in [folder] if len(free) == len(names) else free:
                     self.files.delete(n)
                 gone += len(free)
+        for n in self.files.names("manifest-")[:-KEPT]:
+            self.files.delete(n)
         return gone
 
 
@@ -143,6 +185,7 @@ class Transaction:
         self.written: set[str] = set()
         self.catalog = False
         self.failed = False
+        self.bytes = 0  # written by the last statement
 
     def refresh(self) -> None:
         if self.isolation == "READ COMMITTED" and not self.written and not self.catalog:
@@ -167,43 +210,58 @@ class Transaction:
     def table(self, name: str) -> dict:
         return _entry(self.work, name)
 
-    def _check(self, name: str, after: DataFrame, touched: DataFrame) -> None:
-        """touched: the rows that are new or changed; ranges are checked on them, constraints on the table as it will be."""
-        table = self.table(name)
-        bad = F.lit(False)
-        for c in table["columns"]:
-            bad = bad | ~in_range(c["kind"], F.col(c["name"]))
-        if not touched.filter(bad).isEmpty():
-            raise RangeViolation("A value is out of its column's range.")
-        enforce(after, table["constraints"], lambda parent: self.rows(parent))
+    def _check(self, name: str, rest: DataFrame, fresh: DataFrame, n: int, changed: set[str] | None = None) -> None:
+        """fresh: the n rows of new files; rest: those of the files that stay, which were checked when they came.
+
+        changed: the columns that may have changed (None: all); constraints on others hold as before.
+        """
+        held = [c for c in self.table(name)["constraints"] if changed is None or c.get("predicate") or changed & set(c["columns"])]
+        enforce(fresh, held, lambda parent: self.rows(parent), rest, n <= SMALL)
 
     def insert(self, name: str, rows: DataFrame) -> int:
         table = self.table(name)
         first = table["next_row"]
-        cast = rows.select(*[F.col(c["name"]).cast("bigint" if c["kind"] != "utf8" else "string").alias(c["name"]) for c in table["columns"]])
-        numbered = cast.withColumn(ROW_ID, F.lit(first) + F.monotonically_increasing_id())
-        self._ranges(table, cast)
-        files = self.store.write(table, numbered)
+        cast = rows.select(*[self._fitting(c, rows.schema[c["name"]].dataType) for c in table["columns"]])
+        files = self.store.write(table, cast.withColumn(ROW_ID, F.lit(first) + F.monotonically_increasing_id()))
+        self._ranges(table, self._read(table, files, True))
         fresh = self._read(table, files)
-        self._check(name, self.rows(name, True).unionByName(fresh), fresh)
         n, top = fresh.agg(F.count("*"), F.max(ROW_ID)).first()
+        self._check(name, self.rows(name, True), fresh, n)
         table["files"] += files
         table["next_row"] = (top or first - 1) + 1
-        self._mark(name)
+        self._mark(name, files)
         return n
 
-    def _ranges(self, table: dict, rows: DataFrame) -> None:
-        for c in table["columns"]:
-            if not rows.filter(~in_range(c["kind"], F.col(c["name"]))).isEmpty():
-                raise RangeViolation(f"A value is out of the range of column '{c['name']}'.")
-
-    def _read(self, table: dict, files: list[str]) -> DataFrame:
-        return self.store.rows({"databases": {"d": {"schemas": {"s": {"tables": {"t": table | {"files": files}}}}}}}, "d.s.t", True)
+    def _fitting(self, column: dict, given: T.DataType) -> Column:
+        """A column of the given type as the table holds it; a number with a fraction does not fit, nor does another family."""
+        value, want = F.col(f"`{column['name']}`"), "string" if column["kind"] == "utf8" else "numeric"
+        if family(given) not in (want, "unknown"):
+            raise TypeMismatch(f"Column '{column['name']}' does not take {given.simpleString()}.", "Cast the value.")
+        if want == "string":
+            return value.cast("string").alias(column["name"])
+        whole = value.cast("bigint")
+        if not isinstance(given, T.IntegralType | T.NullType):
+            wrong = F.raise_error(F.lit(f"A value of column '{column['name']}' is not a whole number.")).cast("bigint")
+            whole = F.when(value.isNull() | (value == F.floor(value)), whole).otherwise(wrong)
+        return whole.alias(column["name"])
 
-    def _mark(self, name: str) -> None:
-        self.table(name)["version"] = self.work["next_id"]
-        self.work["next_id"] += 1
+    def _ranges(self, table: dict, rows: DataFrame) -> None:
+        """One pass over the rows for all columns."""
+        out = [c["name"] for c in table["columns"] if c["kind"] in RANGES]
+        if not out:
+            return
+        bad = rows.agg(*[F.count_if(~in_range(c["kind"], F.col(c["name"]))).alias(c["name"]) for c in table["columns"] if c["name"] in out]).first()
+        for name in out:
+            if bad[name]:
+                raise RangeViolation(f"A value is out of the range of column '{name}'.")
+
+    def _read(self, table: dict, files: list[str], raw: bool = False) -> DataFrame:
+        return self.store.rows({"databases": {"d": {"schemas": {"s": {"tables": {"t": table | {"files": files}}}}}}}, "d.s.t", True, raw)
+
+    def _mark(self, name: str, files: list[str] = ()) -> None:
+        self.table(name)["version"] = uuid.uuid4().hex
         self.written.add(name)
+        self.bytes = self.store.files.size(files)
 
     def _split(self, name: str, condition: Column) -> tuple[list[str], list[str]]:
         """Files that hold matching rows, and the others, whose content stays as it is."""
@@ -220,13 +278,13 @@ class Transaction:
         met = F.coalesce(condition, F.lit(False))
         old = self._read(table, touched)
         new = old.withColumn(column, F.when(met, value).otherwise(F.col(column)))
-        n = old.filter(met).count()
-        self._ranges(table, new)
         files = self.store.write(table, new)
+        self._ranges(table, self._read(table, files, True))
         fresh = self._read(table, files)
-        self._check(name, self._read(table, rest).unionByName(fresh), fresh)
+        n, all_rows = old.agg(F.count_if(met), F.count("*")).first()
+        self._check(name, self._read(table, rest), fresh, all_rows, {column})
         table["files"] = rest + files
-        self._mark(name)
+        self._mark(name, files)
         return n
 
     def delete(self, name: str, condition: Column) -> int:
@@ -237,6 +295,7 @@ class Transaction:
         met = F.coalesce(condition, F.lit(False))
         old = self._read(table, touched)
         n = old.filter(met).count()
-        table["files"] = rest + self.store.write(table, old.filter(~met))
-        self._mark(name)
+        files = self.store.write(table, old.filter(~met))
+        table["files"] = rest + files
+        self._mark(name, files)
         return n
