@@ -158,19 +158,6 @@ def join_hash_inner(t):
 
 
 def _outer(name: str, how: str) -> None:
-    def f(t):
-        c, o = t.customer.filter("c_custkey % 3 <> 0"), t.orders.filter("o_totalprice > 200000")
-        return c.join(o, F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey", "o_orderkey")
-
-    f.__name__ = name
-    query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c {how} JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) o ON c_custkey = o_custkey")(f)
-
-
-for _how in ("left", "right", "full"):
-    _outer(f"join_{_how}", _how)
-
-
-def _outer_by_value(name: str, how: str) -> None:
     def f(t):
         c, o = t.customer.filter("c_acctbal > 0"), t.orders.filter("o_totalprice > 300000")
         return c.join(o, F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey", "o_orderkey")
@@ -180,7 +167,7 @@ def _outer_by_value(name: str, how: str) -> None:
 
 
 for _how in ("left", "right", "full"):
-    _outer_by_value(f"join_{_how}_by_value", _how)
+    _outer(f"join_{_how}", _how)
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
@@ -224,8 +211,7 @@ def join_strategy_hints(t):
 @query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def join_greedy_reorder(t):
     o, c, n = t.orders.withColumnRenamed("o_custkey", "k"), t.customer.withColumnsRenamed({"c_custkey": "k", "c_nationkey": "nk"}), t.nation.withColumnRenamed("n_nationkey", "nk")
-    sizes = {"o": 150_000, "c": 15_000, "n": 25}
-    return joins.greedy({"o": o, "c": c, "n": n}, sizes, {frozenset("oc"): ["k"], frozenset("cn"): ["nk"]}).select("o_orderkey", "c_name", "n_name")
+    return joins.greedy({"o": o, "c": c, "n": n}, {frozenset("oc"): ["k"], frozenset("cn"): ["nk"]}).select("o_orderkey", "c_name", "n_name")
 
 
 @query("SELECT r.r_name, n.n_name, s.s_suppkey FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey, supplier s JOIN nation m ON s.s_nationkey = m.n_nationkey")
@@ -423,13 +409,8 @@ def unique_violations_batch(t):
     return constraints.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
-def unique_conflicts_existing(t):
-    return constraints.existing_conflicts(t.orders.filter("o_orderkey % 3 = 0"), t.orders.filter("o_orderkey % 2 = 0"), ["o_orderkey"]).select("o_orderkey")
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
-def unique_conflicts_existing_all(t):
+def unique_conflicts_existing(t):
     return constraints.existing_conflicts(t.orders, t.orders.filter("o_orderstatus = 'F'"), ["o_orderkey"]).select("o_orderkey")
 
 
@@ -438,13 +419,8 @@ def unique_composite(t):
     return constraints.duplicate_keys(t.lineitem, ["l_orderkey", "l_partkey", "l_suppkey"])
 
 
-@query("SELECT c_custkey FROM customer c WHERE c_custkey <= 100 AND EXISTS (SELECT 1 FROM customer o WHERE o.c_nationkey = c.c_nationkey AND o.c_mktsegment = c.c_mktsegment AND o.c_custkey <> c.c_custkey)")
-def unique_update_self(t):
-    return constraints.existing_conflicts(t.customer.filter("c_custkey <= 100"), t.customer, ["c_nationkey", "c_mktsegment"], "c_custkey").select("c_custkey")
-
-
 @query("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM customer o WHERE o.c_nationkey = c.c_nationkey AND o.c_mktsegment = c.c_mktsegment AND o.c_custkey <> c.c_custkey)")
-def unique_update_self_all(t):
+def unique_update_self(t):
     return constraints.existing_conflicts(t.customer, t.customer, ["c_nationkey", "c_mktsegment"], "c_custkey").select("c_custkey")
 
 
@@ -453,35 +429,32 @@ def partial_unique_predicate(t):
     return constraints.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"], "l_quantity > 25")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 150 <> 0)")
-def fk_orphans(t):
-    return constraints.orphans(t.lineitem, ["l_orderkey"], t.orders.filter("o_orderkey % 150 <> 0"), ["o_orderkey"]).select("l_orderkey", "l_linenumber")
-
-
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 50000)")
-def fk_orphans_by_value(t):
+def fk_orphans(t):
     return constraints.orphans(t.lineitem, ["l_orderkey"], t.orders.filter("o_totalprice > 50000"), ["o_orderkey"]).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT c_custkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS k FROM customer) WHERE k IS NOT NULL AND k NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 0)")
+@query("SELECT c_custkey FROM (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_nationkey END AS k FROM customer) WHERE k IS NOT NULL AND k NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 0)")
 def fk_null_skipped(t):
-    child = t.customer.select("c_custkey", F.expr("CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END").alias("k"))
+    child = t.customer.select("c_custkey", F.expr("CASE WHEN c_acctbal > 0 THEN c_nationkey END").alias("k"))
     return constraints.orphans(child, ["k"], t.nation.filter("n_regionkey > 0"), ["n_nationkey"]).select("c_custkey")
 
 
-# tables as statements leave them, by the engine itself
-def _dml(name: str, statement: str, sql: str) -> None:
-    def f(t):
-        import tempfile
+# statements and queries by the engine itself, over a table of all nations
+def _engine(t):
+    from .plans.engine import Engine
 
-        from .plans.engine import Engine
+    e = Engine(t.spark, f"{recursion.shared_dir(t.spark)}/{recursion.unique_name('engine')}")
+    e.sql("CREATE TABLE nation (id INT PRIMARY KEY, name TEXT, region INT)")
+    e.sql("BEGIN")
+    e.txn.insert("main.public.nation", t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
+    e.sql("COMMIT")
+    return e
 
-        shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-        e = Engine(t.spark, f"{shared}/{recursion.unique_name('dml')}")
-        e.sql("CREATE TABLE nation (id INT PRIMARY KEY, name TEXT, region INT)")
-        e.sql("BEGIN")
-        e.txn.insert("main.public.nation", t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
-        e.sql("COMMIT")
+
+def _dml(name: str, statement: str, sql: str) -> None:
+    def f(t):
+        e = _engine(t)
         e.sql(statement)
         return e.sql("SELECT * FROM nation")
 
@@ -498,12 +471,32 @@ _dml("dml_update_sub", "UPDATE nation SET region = region - 1 WHERE region = 2",
 _dml("dml_delete_eq", "DELETE FROM nation WHERE region = 2", f"SELECT * FROM ({_n}) WHERE region <> 2")
 
 
+_dml("dml_update_quoted", "UPDATE nation SET name = 'a where b' WHERE name = 'FRANCE'", f"SELECT id, CASE WHEN name = 'FRANCE' THEN 'a where b' ELSE name END AS name, region FROM ({_n})")
+
+
+def _select(name: str, text: str, sql: str) -> None:
+    def f(t):
+        return _engine(t).sql(text)
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+_select("cte_shadowing", "WITH nation AS (SELECT id + 100 AS id FROM main.public.nation) SELECT id AS id FROM nation", f"SELECT id + 100 AS id FROM ({_n})")
+_select("literal_with_from", "SELECT 'from nation, join nation' AS text, name AS name FROM nation WHERE name <> 'came from nation'", f"SELECT 'from nation, join nation' AS text, name FROM ({_n})")
+_select("project_three_parts", "SELECT main.public.nation.id AS id, n.name AS name FROM main.public.nation JOIN nation n ON main.public.nation.id = n.id", f"SELECT id, name FROM ({_n})")
+_select("cte_recursive_deep", "WITH RECURSIVE r(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM r WHERE i < 150) SELECT i AS i FROM r", "SELECT CAST(range AS INT) AS i FROM range(1, 151)")
+
+
 # catalog
 @query("SELECT n_name FROM nation WHERE n_regionkey = 1")
 def view_query(t):
     t.nation.createOrReplaceTempView(name := recursion.unique_name("nation"))
     t.spark.sql(f"CREATE OR REPLACE TEMP VIEW {name}_v AS SELECT n_name FROM {name} WHERE n_regionkey = 1")
-    return t.spark.table(f"{name}_v")
+    out = t.spark.table(f"{name}_v")
+    for view in (f"{name}_v", name):
+        t.spark.catalog.dropTempView(view)  # the plan is bound already
+    return out
 
 
 @query("SELECT c_custkey, 100 + 5 * (row_number() OVER (ORDER BY c_custkey) - 1) AS seq FROM customer")
@@ -517,14 +510,29 @@ def sequence_cycle(t):
     return numbered.select("n_nationkey", (F.col("i") % 7 + 3).alias("seq"))
 
 
-def _sys_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
+def _catalog(t):
     from .plans.engine import Engine
 
-    e = Engine(spark, tempfile.mkdtemp(prefix="tessera-"))
-    e.script("CREATE TABLE a (id INT); CREATE TABLE b (id INT, name TEXT)")
-    return e.system("relations")
+    e = Engine(t.spark, f"{recursion.shared_dir(t.spark)}/{recursion.unique_name('catalog')}")
+    e.script("CREATE TABLE a (id INT PRIMARY KEY); CREATE TABLE b (id INT, name TEXT); CREATE UNIQUE INDEX i ON b USING utf8 (name); CREATE VIEW v AS SELECT id FROM a")
+    return e
+
+
+@query("SELECT * FROM (VALUES ('main', 'public', 'a', 1), ('main', 'public', 'b', 2)) v(database, schema, name, columns)")
+def sys_relations(t):
+    return _catalog(t).system("relations").select("database", "schema", "name", "columns")
+
+
+@query("SELECT * FROM (VALUES ('main', 'public', 'i', 'b', 'name', TRUE)) v(database, schema, name, \"table\", columns, is_unique)")
+def sys_indexes(t):
+    return _catalog(t).system("indexes")
+
+
+@query("SELECT * FROM (VALUES ('main', 'public', 'v', 'SELECT id FROM a')) v(database, schema, name, text)")
+def sys_views(t):
+    return _catalog(t).system("views")
 
 
-QUERIES["sys_relations"] = _sys_relations
+@query("SELECT * FROM (VALUES ('a', 'primary_key', 'id'), ('b', 'unique', 'name')) v(\"table\", kind, columns)")
+def sys_constraints(t):
+    return _catalog(t).system("constraints").select("table", "kind", "columns")
