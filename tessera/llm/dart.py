@@ -34,7 +34,9 @@ from .common import Rolling, attach, mixed, row_key, saved, small_batches, to_ba
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 8
 #: Texts in a block, and shingles in one at most if its texts are long; columns of a matrix.
-BLOCK, ROOM, COLUMNS = 256, 1 << 21, 4096
+BLOCK, ROOM, COLUMNS = 256, 1 << 19, 4096
+#: Shingles that are hashed at once.
+PIECE = 1 << 16
 #: Rounds that hold the texts outside a bucket's largest label against some inside, at most; how many inside.
 ROUNDS, INSIDE = 4, 128
 U = np.uint64
@@ -56,7 +58,11 @@ class Shingles:
         gaps = np.flatnonzero(data == 32)
         lo, hi = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
         w = min(self.words, len(lo))
-        return np.unique(self.rolling.hashes(self.rolling.prefix(data), lo[: len(lo) - w + 1], hi[w - 1 :]), return_counts=True)
+        lo, hi, out = lo[: len(lo) - w + 1], hi[w - 1 :], []
+        for i in range(0, len(lo), PIECE):  # hashes do not depend on where a piece begins
+            a, z = lo[i : i + PIECE], hi[i : i + PIECE]
+            out.append(self.rolling.hashes(self.rolling.prefix(data[a[0] : z[-1]]), a - a[0], z - a[0]))
+        return np.unique(np.concatenate(out), return_counts=True)
 
     def each(self, text: str | None) -> np.ndarray:
         """A hash for each shingle and how often it came before, so that shared counts are shared elements."""
@@ -253,7 +259,7 @@ def near_labels(docs: DataFrame, signed: DataFrame, members: DataFrame, n_rows:
     texts = saved(met.select("v", "bands", "text"), "texts")  # of all that meets, moved once by the same plan at every size
     groups = saved(spots.groupBy("g").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).withColumn("parts", parts_of("n", "total")).filter("n > 1"), "groups")
     first = attach(spots, groups, "g", "n", n_rows).select("g", "v", F.col("v").alias("label"), dealt_to("parts", 0).alias("i")).withColumns({"band": F.lit(-1), "j": F.lit(0), "side": F.lit(0)})
-    edges = saved(all_links(first.join(texts, "v"), threshold, words), "links")
+    edges = saved(all_links(first.join(texts.hint("merge"), "v"), threshold, words), "links")
     large = spots.filter("large").select("v", "chain", "g", "weight")
     labels = components(edges)
     if large.isEmpty():
@@ -274,7 +280,7 @@ def near_labels(docs: DataFrame, signed: DataFrame, members: DataFrame, n_rows:
         chosen = F.pmod(F.xxhash64(F.lit(-k), "v"), F.col("n") - F.col("m")) < INSIDE
         inside = met.filter("label = giant").filter(chosen).select("g", "v", "label", upto("parts").alias("i"))
         placed = outside.unionByName(inside).withColumns({"band": F.lit(-1), "j": F.lit(0), "side": F.lit(0)})
-        edges = edges.unionByName(saved(all_links(placed.join(texts, "v"), threshold, words), "links"))
+        edges = edges.unionByName(saved(all_links(placed.join(texts.hint("merge"), "v"), threshold, words), "links"))
         labels = components(edges)
     now = saved(labelled(large), "labelled")
 
@@ -300,7 +306,7 @@ def near_labels(docs: DataFrame, signed: DataFrame, members: DataFrame, n_rows:
         met.filter("not one and label <> giant").select(*at, F.col("mine").alias("i"), upto("all_parts").alias("j"), F.lit(0).alias("side")),
         met.filter("not one").select(*at, upto("parts").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side")),
     ])
-    return components(edges.unionByName(saved(all_links(placed.join(texts, "v"), threshold, words), "links")))
+    return components(edges.unionByName(saved(all_links(placed.join(texts.hint("merge"), "v"), threshold, words), "links")))
 
 
 def components(edges: DataFrame) -> DataFrame:
