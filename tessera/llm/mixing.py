@@ -148,8 +148,8 @@ class Mix:
         return cut.select("s", "block", "row", (low - F.col("rank")).alias("first"), (high - low).alias("n"))
 
     def taken(self) -> DataFrame:
-        """The mix itself: every slot with the document parts that fill it."""
-        return self.slots.join(self.segments, ["s", "block"])
+        """The mix itself: every slot with the document parts that fill it.  Neither side is small, whatever estimates say."""
+        return self.slots.join(self.segments.hint("merge"), ["s", "block"])
 
     def report(self) -> DataFrame:
         """doc_id, source, size, source_size, target, taken of every row."""
