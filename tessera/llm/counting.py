@@ -29,6 +29,8 @@ from .common import small_batches, to_batch
 from .tokenizing import DEFAULT, library, worker_encoder
 
 WIDTH = 16
+#: Bytes of texts that are looked up at once.
+TOGETHER = 1 << 20
 
 
 class Lengths:
@@ -95,8 +97,8 @@ def frequent_counts(docs: DataFrame, tokenizer: str = DEFAULT, size: int = 65_53
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(t.split(" ")[1:])
-            if len(seen) > 16 * summary:
-                least = heapq.nlargest(8 * summary, seen.values())[-1]
+            if len(seen) > 32 * summary:
+                least = int(np.partition(np.fromiter(seen.values(), np.int64, len(seen)), -8 * summary)[-8 * summary])
                 lost += least
                 seen = Counter({w: n - least for w, n in seen.items() if n > least})
         short = ((w, n + lost) for w, n in seen.items() if len(w) <= WIDTH and 0 < len(w.encode("utf-8", "surrogatepass")) <= WIDTH)
@@ -119,26 +121,42 @@ def token_counts(docs: DataFrame, tokenizer: str = DEFAULT, limit: int = 1024) -
     def count(batches):
         encoder, lengths = worker_encoder(tokenizer, True), table.value
 
-        def tokens(text: str | None) -> int:
-            if not text or encoder.odd(text):
-                return encoder.of(text)
-            data = text.encode("utf-8", "surrogatepass")
+        def together(texts: list[bytes]) -> np.ndarray:
+            """Of texts without odd spaces: all their stretches are looked up at once."""
+            data = b" ".join(texts)
+            length = np.array([len(t) for t in texts])
+            begin = np.cumsum(length + 1) - length - 1
             gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-            if not len(gaps):
-                return encoder.of(text)
-            start = gaps + 1
-            end = np.append(gaps[1:], len(data))
-            size = end - start
-            fits = (size > 0) & (size <= WIDTH)
-            found = np.full(len(size), -1, np.int64)
-            found[fits] = lengths.find(Lengths.padded(data), start[fits], size[fits])
-            lost = np.flatnonzero(found < 0)
-            words = [data[a:z].decode("utf-8", "surrogatepass") for a, z in zip(start[lost].tolist(), end[lost].tolist())]
-            return int(found.sum()) + len(lost) + encoder.parts(data[: gaps[0]].decode("utf-8", "surrogatepass"), words)
+            start, end = np.concatenate([[0], gaps + 1]), np.append(gaps, len(data))
+            size, text = end - start, np.searchsorted(begin, start, "right") - 1
+            head = start == begin[text]  # no space of the text's own is before it
+            found = np.where(head, 0, -1)
+            fits = ~head & (size > 0) & (size <= WIDTH)
+            found[fits] = lengths.find(lengths.padded(data), start[fits], size[fits])
+
+            def cut(at: np.ndarray) -> list[str]:
+                return [data[a:z].decode("utf-8", "surrogatepass") for a, z in zip(start[at].tolist(), end[at].tolist())]
+
+            lost, first = np.flatnonzero(found < 0), np.flatnonzero(head & (size > 0))
+            if len(lost):
+                found[lost] = encoder.stretches(cut(lost))
+            if len(first):
+                found[first] = encoder.encode(cut(first))
+            return np.bincount(text, found, len(texts)).astype(np.int64)
 
         for b in batches:
-            n = [tokens(t) for t in b.column(1).to_pylist()]
-            yield to_batch(schema, {"doc_id": b.column(0), "n_bytes": b.column(2), "n_tokens": n, "over_limit": [x > limit for x in n]})
+            n, held, at, size = np.zeros(b.num_rows, np.int64), [], [], 0
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if text and encoder.odd(text):
+                    n[i] = encoder.of(text)
+                elif text:
+                    held.append(text.encode("utf-8", "surrogatepass"))
+                    at.append(i)
+                    size += len(held[-1])
+                if held and (size > TOGETHER or i + 1 == b.num_rows):
+                    n[at] = together(held)
+                    held, at, size = [], [], 0
+            yield to_batch(schema, {"doc_id": b.column(0), "n_bytes": b.column(2), "n_tokens": n, "over_limit": n > limit})
 
     source = docs.select(F.col("doc_id").cast("long"), "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     return source.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -84,6 +84,11 @@ class Encoder:
     def parts(self, before: str, rest: list[str], odd: bool = False):
         """Of a text: what is before the first bound, and the stretches that follow a space each."""
         first = self.encode([before]) if before else []
+        found = self.stretches(rest, odd)
+        return sum(first) + sum(found) if self.count else b"".join(first + found)
+
+    def stretches(self, rest: list[str], odd: bool = False) -> list:
+        """Ids or numbers of each stretch, with the space before it."""
         found = list(map(self.cache.get, rest))
         if None in found:
             lost = list(dict.fromkeys(p for p, v in zip(rest, found) if v is None))
@@ -93,7 +98,7 @@ class Encoder:
             if len(self.cache) + len(fresh) > self.limit:
                 self.cache = {}
             self.cache.update(fresh if max(map(len, lost)) < 64 else {p: v for p, v in fresh.items() if len(p) < 64})
-        return sum(first) + sum(found) if self.count else b"".join(first + found)
+        return found
 
 
 _kept: dict = {}
