@@ -143,8 +143,10 @@ def estimate(n: float, sums: np.ndarray, squares: np.ndarray, factor: float) ->
     scatter = np.zeros((D, D))
     for (i, j), q in zip(TRIANGLE, squares):
         scatter[i, j] = scatter[j, i] = q / n - centre[i] * centre[j]
-    scatter = factor * scatter
-    np.fill_diagonal(scatter, np.maximum(scatter.diagonal(), [s * s for _, s in STATISTICS]))
+    # in no direction less than the least standard deviations, or a scatter of linked statistics would be singular
+    floors = np.array([s for _, s in STATISTICS])
+    value, axes = np.linalg.eigh(factor * scatter / np.outer(floors, floors))
+    scatter = (axes * np.maximum(value, 1.0)) @ axes.T * np.outer(floors, floors)
     return centre, np.linalg.inv(scatter), float(np.linalg.slogdet(scatter)[1])
 
 
@@ -215,17 +217,21 @@ def grouped(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     return saved(named.join(enough.select("group"), "group", "left_semi"), "named"), enough
 
 
+def least_determinants(vectors: tuple[DataFrame, int], sizes: DataFrame) -> DataFrame:
+    """The better of both starts of each group, after the concentration steps."""
+    present = saved(starts(vectors, sizes), "starts")
+    for _ in range(STEPS):
+        present = saved(concentrate(vectors, present, sizes, SHARE), "step")
+    return saved(present.groupBy("group").agg(F.min_by(F.struct(*present.columns), F.struct("logdet", "start")).alias("b")).select("b.*"), "best")
+
+
 def judged(docs: DataFrame, alpha: float, whole: bool) -> DataFrame:
     stats = saved(base_rules(docs, whole), "statistics")
     names, sizes = grouped(stats)
     passed = stats.filter("not base_failed").select("pair", "x")
     n_rows = passed.count()
     vectors = saved(meet(passed, names, "pair", "rows", n_rows).select("group", "x"), "vectors"), n_rows
-    present = saved(starts(vectors, sizes), "starts")
-    for _ in range(STEPS):
-        present = saved(concentrate(vectors, present, sizes, SHARE), "step")
-    best = present.groupBy("group").agg(F.min_by(F.struct(*present.columns), F.struct("logdet", "start")).alias("b")).select("b.*")
-    final = concentrate(vectors, saved(best, "best"), sizes, None).select("group", "centre", "precision")
+    final = concentrate(vectors, least_determinants(vectors, sizes), sizes, None).select("group", "centre", "precision")
     final = saved(names.join(final, "group").select("pair", "centre", "precision", "rows"), "final")
     met = meet(stats, final, "pair", "rows", stats.count(), "left")
     d2 = F.when(F.col("x").isNotNull() & F.col("centre").isNotNull(), distance(F.col("x"), F.col("centre"), F.col("precision")))
