@@ -6,14 +6,15 @@ a segment tree over rooms.  Overlong documents are cut into pieces without loss.
 cumulative lengths of each sequence's segments, a bit for each position that resets to 0, and the piece table.
 
 Files are named by partition and batch and appear by a rename, so a task that runs again writes the same files.
-Defined results: a null text counts as empty and packs as the end id alone; every row is packed, repeated ones too;
-further columns are not read.
+Defined results: a null text counts as empty and packs as the end id alone; every row is packed, repeated ones and those
+without an id too; pieces of one length go in the order of the rows; an empty table gives no files and no rows; columns
+but doc_id and text are not read, whatever their names; a very long text is held whole by one worker with its ids, and
+ends the batch that it comes to.
 """
 
 from __future__ import annotations
 
 import io
-import math
 import os
 import zlib
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, scratch, small_batches, to_batch
+from .common import reading_parts, saved, scratch, small_batches, to_batch
 from .tokenizing import DEFAULT, library, worker_encoder
 
 
@@ -175,7 +176,7 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                 yield to_batch(schema, {"doc_id": pa.array(x["doc_id"], mask=x["no_id"]), "piece": x["piece"], "start": x["start"], "length": length, "ids_crc32": crc, "file": [path.rsplit("/", 1)[1]] * len(crc), "sequence": sequence, "offset": offset})
 
     files = manifest.select("path")
-    return files.repartition(max(1, math.ceil(manifest.count() / FILES_A_TASK)), "path").mapInArrow(work, ROWS)
+    return files.repartition(reading_parts(files.sparkSession, manifest.count(), FILES_A_TASK), "path").mapInArrow(work, ROWS)
 
 
 def pack_to_files(docs: DataFrame, out: str | None = None, **options) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import tempfile
 import uuid
 from functools import reduce
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.recursion import shared_dir
+
 #: White space that separates words; every other code point belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,15 +38,6 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) ->
             spark.conf.set(key, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
@@ -93,6 +85,11 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
+def reading_parts(spark: SparkSession, files: int, each: int) -> int:
+    """Partitions to read so many files in, some to a task, and no more than the cluster can use: tasks read one file after another."""
+    return max(1, min(math.ceil(files / each), 32 * spark.sparkContext.defaultParallelism))
+
+
 def without(docs: DataFrame, judged: DataFrame, name: str) -> DataFrame:
     """The rows of docs that stay.  judged has doc_id, key (see row_key) and kept for every row.
 

@@ -7,7 +7,9 @@ ranges of the index and of the records; nothing is extracted.
 
 Defined results: a null html is an empty payload; of records with equal payloads of at least ``min_bytes`` bytes the
 one with the largest page_id (null ids are smallest) is the response and the others revisit it; rows repeated with
-that id are responses too; an empty table gives no rows; columns but page_id, url and html are not read.
+that id are responses too; an empty table gives no rows; columns but page_id, url and html are not read, whatever their
+names; a target URI is written without its white space and control characters, and a null one as empty; a very long
+html is held whole by one worker, and ends the archive that it comes to.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bestfit import filesystem, write_whole
-from .common import attach, saved, scratch, small_batches, to_batch
+from .common import attach, reading_parts, saved, scratch, small_batches, to_batch
 
 RECORDS, INDEX = "records.warc.gz", "index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -198,7 +200,7 @@ def read_archives(archives: DataFrame, verify: bool = True) -> DataFrame:
                         rows = [row(archive.read(base + r["offset"], r["length"])) for r in ranges]
                         yield to_batch(schema, dict(zip(schema.names, zip(*rows))))
 
-    return archives.select("path").repartition(max(1, archives.count()), "path").mapInArrow(work, ROWS)
+    return archives.select("path").repartition(reading_parts(archives.sparkSession, archives.count(), 1), "path").mapInArrow(work, ROWS)
 
 
 def round_trip(pages: DataFrame, out: str | None = None, min_bytes: int = 0) -> DataFrame:
