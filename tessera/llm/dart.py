@@ -35,6 +35,8 @@ from .common import Rolling, attach, mixed, row_key, saved, small_batches, to_ba
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 8
 #: Texts in a block, and shingles in one at most if its texts are long; columns of a matrix.
 BLOCK, ROOM, COLUMNS = 256, 1 << 19, 4096
+#: Edges that a task contracts at once (some 100 MB).
+LOCAL = 1 << 20
 #: Shingles that are hashed at once.
 PIECE = 1 << 16
 #: Rounds that hold the texts outside a bucket's largest label against some inside, at most; how many inside.
@@ -309,12 +311,52 @@ def near_labels(docs: DataFrame, signed: DataFrame, members: DataFrame, n_rows:
     return components(edges.unionByName(saved(all_links(placed.join(texts.hint("merge"), "v"), threshold, words), "links")))
 
 
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each vertex to the smallest one of its component, of these edges alone."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(names))
+    while True:
+        p, q = label[a], label[b]
+        if (p == q).all():
+            break
+        least = np.minimum(p, q)
+        np.minimum.at(label, p, least)
+        np.minimum.at(label, q, least)
+        while (label != (label := label[label])).any():
+            pass
+    own = label != np.arange(len(names))
+    return names[own], names[label[own]]
+
+
+def contract(edges: DataFrame, parts: int = 0) -> DataFrame:
+    """The edges with the same components in fewer ones: each task contracts LOCAL of its own at a time."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def work(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            n += b.num_rows
+            if n > LOCAL:
+                yield to_batch(schema, dict(zip("uv", contracted(*map(np.concatenate, zip(*held))))))
+                held, n = [], 0
+        if n:
+            yield to_batch(schema, dict(zip("uv", contracted(*map(np.concatenate, zip(*held))))))
+
+    few = edges.select("u", "v")
+    return (few.coalesce(parts) if parts else few).mapInArrow(work, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """u, label (the smallest vertex of its component) by large-star and small-star rounds over (u, v).
+    """u, label (the smallest vertex of its component) of the edges (u, v), for all u but the smallest.
 
+    Tasks contract their own edges; what more than one task holds is then joined by large-star and small-star rounds.
     Minima are written before they are joined, so that a hub's edges can be split over tasks.
     """
-    edges = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    edges = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"), "edges")
+    if edges.count() <= LOCAL:
+        return saved(contract(edges, 1), "labels").withColumnRenamed("v", "label")
+    edges = saved(contract(edges).distinct(), "contracted")
     while True:
         # done once each vertex has one edge, to a vertex without a smaller one
         several = edges.groupBy("u").count().filter("count > 1").select("u")

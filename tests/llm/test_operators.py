@@ -361,6 +361,7 @@ def test_dart_classes_of_large_groups(docs, monkeypatch, rounds):
     monkeypatch.setattr(dart, "BLOCK", 3)
     monkeypatch.setattr(dart, "INSIDE", 1)
     monkeypatch.setattr(dart, "ROUNDS", rounds)
+    monkeypatch.setattr(dart, "LOCAL", 1 << 20 if rounds else 5)
     r, texts = random.Random(rounds), []
     for k, (n, words_, most) in enumerate([(30, 300, 20), (25, 200, 26), (12, 60, 6)]):  # the second: some pairs reach 0.8, some do not
         base = words(70 + k, words_).split()
@@ -383,6 +384,19 @@ def test_dart_clashing_columns(spark):
     assert kept.columns == frame.columns and sorted((x.doc_id is None, x["a.b"]) for x in kept.collect()) == [(False, 0), (False, 1), (False, 2), (True, 7)]
 
 
+def test_contracted_edges():
+    r = random.Random(3)
+    for n in (1, 2, 10, 60):
+        for _ in range(20):
+            edges = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(1, n))]
+            least = list(range(n))
+            for _ in range(n):
+                for a, b in edges:
+                    least[a] = least[b] = min(least[a], least[b])
+            u, v = dart.contracted(*np.array(edges, np.int64).T)
+            assert dict(zip(u.tolist(), v.tolist())) == {i: x for i, x in enumerate(least) if x != i}
+
+
 def test_dart_overlaps():
     r = np.random.default_rng(8)
     a, b = ([r.choice(9000, n, False).astype(np.uint64) for n in sizes] for sizes in ((3, 700, 6000), (1, 5000)))
