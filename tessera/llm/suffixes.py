@@ -89,7 +89,7 @@ class Anchors:
 def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of all suffixes by their first ``depth`` bytes, ties by position, and which equal the one before."""
     n = len(data)
-    bits = np.uint64(max(1, n).bit_length())
+    bits = np.uint64(max(8, n.bit_length()))
     place = np.arange(n, dtype=np.uint64)
 
     def ranked(key):  # key < 2**(2 bits)
