@@ -488,6 +488,144 @@ _select("project_three_parts", "SELECT main.public.nation.id AS id, n.name AS na
 _select("cte_recursive_deep", "WITH RECURSIVE r(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM r WHERE i < 150) SELECT i AS i FROM r", "SELECT CAST(range AS INT) AS i FROM range(1, 151)")
 
 
+@query(f"SELECT id + 1 AS column_1, name FROM ({_n})")
+def project_unnamed(t):
+    return _engine(t).sql("SELECT id + 1, name FROM nation")
+
+
+@query("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice > 100 * c_acctbal")
+def join_mixed_predicates(t):
+    """The equality becomes the join's key, the rest its condition."""
+    return t.sql("SELECT o_orderkey, c_custkey FROM {orders} JOIN {customer} ON o_custkey = c_custkey AND o_totalprice > 100 * c_acctbal", "orders", "customer")
+
+
+@query("SELECT n_regionkey AS k, n_nationkey AS child FROM nation UNION ALL SELECT n_nationkey, n_nationkey + 100 FROM nation")
+def worktable_levels(t):
+    w = recursion.Worktables(t.spark)
+    w.spool("w", lambda: t.nation.select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("child")), 1)
+    w.append_delta("w", w.next_seed("w").select(F.col("child").alias("k"), (F.col("child") + 100).alias("child")))
+    w.next_delta("w")
+    return w.spool("w", lambda: None, 1)
+
+
+# transactions and persistence
+def _steps(name: str, sql: str, text: str = "SELECT * FROM nation"):
+    """f runs statements on an engine with all nations; the result is what an engine opened anew on its folder sees."""
+
+    def keep(f):
+        def run(t):
+            from .plans.engine import Engine
+
+            e = _engine(t)
+            f(e)
+            return Engine(t.spark, e.store.files.root).sql(text)
+
+        run.__name__ = name
+        query(sql)(run)
+
+    return keep
+
+
+def _refused(e, statement: str) -> None:
+    from .errors import EngineError
+
+    try:
+        e.sql(statement)
+    except EngineError:
+        return
+    raise AssertionError(f"not refused: {statement}")
+
+
+_steps("persist_reopen", _n)(lambda e: None)
+_steps("txn_commit", f"{_n} UNION ALL SELECT 100, 'new', 1 UNION ALL SELECT 101, 'newer', 1")(lambda e: e.script("BEGIN; INSERT INTO nation (id, name, region) VALUES (100, 'new', 1); INSERT INTO nation (id, name, region) VALUES (101, 'newer', 1); COMMIT"))
+_steps("txn_rollback", _n)(lambda e: e.script("BEGIN TRANSACTION; DELETE FROM nation WHERE region = 1; UPDATE nation SET region = 0 WHERE region = 2; ROLLBACK"))
+
+
+@_steps("txn_conflict", f"SELECT * FROM ({_n}) WHERE region <> 1")
+def _conflict(e):
+    from .plans.engine import Engine
+
+    e.script("BEGIN ISOLATION LEVEL SNAPSHOT; UPDATE nation SET region = 7 WHERE region = 2")
+    Engine(e.spark, e.store.files.root).sql("DELETE FROM nation WHERE region = 1")
+    _refused(e, "COMMIT")
+    e.sql("ROLLBACK")
+
+
+@_steps("savepoint_statement", f"SELECT * FROM ({_n}) UNION ALL SELECT 100, 'kept', 1")
+def _savepoint(e):
+    """A statement that fails takes nothing back but itself."""
+    from .errors import EngineError
+    from .plans.catalog import Catalog
+
+    e.sql("BEGIN")
+    e.sql("INSERT INTO nation (id, name, region) VALUES (100, 'kept', 1)")
+    point = e.txn.savepoint()
+    try:
+        Catalog(e.txn).drop_table("nation")
+        e.txn.insert("main.public.nation", e.spark.range(1))
+    except (EngineError, TypeError):
+        e.txn.restore(point)
+    e.sql("COMMIT")
+
+
+_steps("check_primary_key", _n)(lambda e: _refused(e, "INSERT INTO nation (id, name, region) VALUES (200, 'x', 1), (3, 'taken', 1)"))
+_steps("check_foreign_key_first", _n)(lambda e: [e.sql("CREATE TABLE city (id INT PRIMARY KEY, nation INT REFERENCES nation (id))"), _refused(e, "INSERT INTO city (id, nation) VALUES (1, 999), (1, 999)")])
+_steps("check_type_mismatch", _n)(lambda e: [_refused(e, x) for x in ("SELECT id FROM nation WHERE name = 5", "DELETE FROM nation WHERE name = 5", "UPDATE nation SET name = 5 WHERE id = 1", "INSERT INTO nation (id, name, region) VALUES (1.7, 'x', 1)")])
+_steps("check_duplicate_alias", _n)(lambda e: _refused(e, "SELECT id AS a, name AS a FROM nation"))
+_steps("vacuum_keeps_rows", f"SELECT * FROM ({_n}) WHERE region <> 3")(lambda e: [e.sql("DELETE FROM nation WHERE region = 3"), e.store.vacuum()])
+_steps("alter_table", f"SELECT id, name AS label, CAST(NULL AS BIGINT) AS extra FROM ({_n})", "SELECT * FROM country")(lambda e: e.script("ALTER TABLE nation RENAME COLUMN name TO label; ALTER TABLE nation ADD COLUMN extra INT; ALTER TABLE nation DROP COLUMN region; ALTER TABLE nation RENAME TO country"))
+_steps("databases_and_schemas", f"SELECT count(*) AS n FROM ({_n})", "SELECT count(*) AS n FROM nation")(lambda e: [e.script("CREATE DATABASE d; CREATE SCHEMA d.s; CREATE TABLE d.s.t (id INT, name TEXT DEFAULT 'x')"), _refused(e, "DROP SCHEMA d.s RESTRICT"), _refused(e, "DROP DATABASE d"), e.script("DROP TABLE d.s.t; DROP SCHEMA d.s; DROP DATABASE d; DROP DATABASE IF EXISTS d")])
+_steps("script_is_atomic", f"SELECT count(*) AS n FROM ({_n})", "SELECT count(*) AS n FROM nation")(lambda e: _refused_script(e, "CREATE TABLE a (id INT); CREATE TABLE a (id INT)"))
+
+
+def _refused_script(e, text: str) -> None:
+    from .errors import EngineError
+
+    try:
+        e.script(text)
+    except EngineError:
+        return _refused(e, "SELECT * FROM a")
+    raise AssertionError(f"not refused: {text}")
+
+
+@query("SELECT * FROM (VALUES ('create table', 1, 0, 1), ('insert', 1, 1, 1), ('delete', 0, 0, 1), ('select', 1, 0, 0)) v(verb, succeeded, n_rows, bad)")
+def command_metrics(t):
+    from .plans.engine import Engine
+
+    e = Engine(t.spark, f"{recursion.shared_dir(t.spark)}/{recursion.unique_name('metrics')}")
+    e.script("CREATE TABLE t (id INT PRIMARY KEY)")
+    e.sql("INSERT INTO t (id) VALUES (1)")
+    for bad in ("CREATE TABLE t (id INT)", "INSERT INTO t (id) VALUES (1)", "DELETE FROM t"):
+        _refused(e, bad)
+    e.sql("SELECT id FROM t")
+    held = e.telemetry.snapshot()
+    rows = [(v, int(x["succeeded"]), held["operators"].get(v, {}).get("rows", 0), int(x["failed"])) for v, x in held["verbs"].items()]
+    return t.spark.createDataFrame(rows, "verb string, succeeded int, n_rows int, bad int")
+
+
+@query("SELECT * FROM (VALUES ('filter', 3), ('scan', 5)) v(operator, n_rows)")
+def operator_telemetry(t):
+    from .plans.engine import Engine
+
+    e = Engine(t.spark, f"{recursion.shared_dir(t.spark)}/{recursion.unique_name('telemetry')}")
+    e.script("CREATE TABLE t (id INT); INSERT INTO t (id) VALUES (1), (2), (3), (4), (5)")
+    e.collect("SELECT id FROM t WHERE id % 2 = 1")
+    held = e.telemetry.snapshot()["operators"]
+    return t.spark.createDataFrame([(k, held[k]["rows"]) for k in ("filter", "scan")], "operator string, n_rows int")
+
+
+@query("SELECT * FROM (VALUES ('main', 'public', 'nation')) v(database, schema, name)")
+def meta_list_tables(t):
+    return _engine(t).sql("\\dt NAT").select("database", "schema", "name")
+
+
+@query(f"SELECT name FROM ({_n})")
+def index_rows(t):
+    e = _engine(t)
+    e.sql("CREATE INDEX by_name ON nation USING bytelex (name)")
+    return e.index_rows("by_name").select("name")
+
+
 # catalog
 @query("SELECT n_name FROM nation WHERE n_regionkey = 1")
 def view_query(t):
