@@ -380,7 +380,7 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     groups = saved(signed.groupBy("content").agg(first.alias("f"), F.count("*").alias("copies")).select("content", F.col("f.row").alias("v"), F.col("f.doc_id").alias("first_id"), "copies"), "contents")
     keyed = signed.select("row", F.posexplode("bands").alias("band", "key")).join(groups.select(F.col("v").alias("row")), "row", "left_semi").select("key", "band", F.col("row").alias("v"))
     buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("lo")).filter("n > 1"), "buckets")
-    members = saved(keyed.join(buckets, "key"), "members")
+    members = saved(keyed.join(buckets.hint("merge"), "key"), "members")
     labels = None if members.isEmpty() else near_labels(docs, signed, members, n_rows, threshold, words).withColumnRenamed("u", "v")
     classes = groups.join(labels, "v", "left") if labels else groups.withColumn("label", F.col("v"))
     classes = saved(classes.select("content", "v", "first_id", "copies", F.coalesce("label", "v").alias("label")), "classes")
