@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, saved, small_batches, to_batch, union
+from .common import Rolling, attach, saved, small_batches, to_batch, union
 
 LENGTH = 200
 MAX_GROUP = 20_000
@@ -304,16 +304,17 @@ def _split(rows: DataFrame, length: int, first: int, last: int, keep_first: bool
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH, keep_first: bool = False) -> DataFrame:
     """doc, lo, hi: bytes of docs (ids unique, not null) that repeated strings cover; spans may overlap.
 
-    Tables are written before they are joined by gram, so that the rows of a frequent gram can be split over tasks.
+    Rows of frequent grams and neighbourhoods meet their groups by a broadcast of these, which are few.
     """
     small_batches(docs.sparkSession)
     found = saved(_found(docs, id_col, length), "found")
-    twice = saved(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "twice")
-    held = saved(found.join(twice, "gram", "left_semi"), "anchors")
+    twice = saved(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    held = saved(attach(found, twice, "gram", "n", found.count()).drop("n"), "anchors")
     first = F.min(F.struct("doc", "pos"))
     around = saved(held.groupBy("gram", "around").agg(F.count("*").alias("copies"), first.alias("first")), "around")
     reach = length - length // 2
-    sure = held.join(around.filter("copies > 1"), ["gram", "around"])
+    whole = F.struct("gram", "around").alias("whole")
+    sure = attach(held.select("doc", "pos", whole), around.filter("copies > 1").select(whole, "copies", "first"), "whole", "copies", held.count())
     if keep_first:
         sure = sure.filter(F.struct("doc", "pos") != F.col("first"))
     sure = sure.select("doc", F.greatest(F.col("pos").cast("long") - reach, F.lit(0)).alias("lo"), (F.col("pos").cast("long") + length).alias("hi"))
