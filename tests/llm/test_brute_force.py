@@ -33,7 +33,7 @@ def distances(x, centre, precision):
     return np.einsum("ij,jk,ik->i", gap, precision, gap)
 
 
-def naive_mcd(x, seed=1, tries=200):
+def naive_mcd(x, seed=1, tries=100):
     """Least determinant over many random starts with whole concentration steps, and the verdict after reweighting."""
     r, h, best = np.random.default_rng(seed), int(np.ceil(0.75 * len(x))), None
     for _ in range(tries):
@@ -163,7 +163,8 @@ def test_exact_batches_can_be_added_again(spark, docs, tmp_path):
     assert [x.kept for x in again.add(docs((5002, "a"), (5003, "a")), batch="x").collect()].count(True) == 1
 
 
-def test_exact_index_is_not_shuffled(spark, docs, tmp_path):
+def test_exact_index_is_not_shuffled(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact, "FILES", 1)
     index = exact.DigestIndex(spark, str(tmp_path / "index"), 64, per_bucket=10)
     index.add(docs(*[(i, f"text {i}") for i in range(300)]))
     groups = spark.createDataFrame([(b"x", 1)], "digest binary, n long")
@@ -178,9 +179,9 @@ def test_exact_index_is_not_shuffled(spark, docs, tmp_path):
     assert index.meta["buckets"] == 128 and index.meta["generation"] == 1 and index.rows().count() == 800
     for k in range(exact.FILES + 1):  # many small batches are put together
         index.add(docs((10_000 + k, f"batch {k}")))
-    assert index.rows().count() == 809
+    assert index.rows().count() == 802 and index.meta["generation"] >= 2
     again = exact.DigestIndex(spark, str(tmp_path / "index"))
-    assert again.meta == index.meta and again.rows().count() == 809
+    assert again.meta == index.meta and again.rows().count() == 802
 
 
 NAMES = ["v", "label", "g", "key", "row", "parts", "pass", "rank", "s", "size", "a.b", "x`y", "__id", "__key", "__row", "__rest", "digest", "kept", "pair", "group", "sha1", "keys", "host", "found"]
@@ -221,8 +222,8 @@ def test_very_long_texts(docs, monkeypatch):
     """Pieces are far smaller than the texts, so all bounds inside texts are met."""
     monkeypatch.setattr(suffixes, "PIECE", 1 << 12)
     monkeypatch.setattr(dart, "PIECE", 1 << 9)
-    base = words(5, 30_000)
-    texts = [base, base[:150_000] + " tail", words(6, 25_000), words(7, 100) + base[5000:9000], "é" * 120_000, " ".join(["ab"] * 50_000), "z" * 130_000]
+    base = words(5, 18_000)
+    texts = [base, base[:100_000] + " tail", words(7, 100) + base[5000:9000], "é" * 60_000, " ".join(["ab"] * 40_000), "z" * 110_000]
     d = docs(*enumerate(texts))
     out = by_id(suffixes.remove_repeats(d))
     assert [tuple(out[i])[1:] for i in range(len(texts))] == naive_repeats(texts, 200)
