@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact.ORACLE, "op8_url_filter": urlfilter.ORACLE}
+    return {"op4_exact_dedup": exact.ORACLE, "op8_url_filter": urlfilter.ORACLE, "op9_warc_archives": warczip.ORACLE}

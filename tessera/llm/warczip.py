@@ -205,3 +205,18 @@ def read_archives(archives: DataFrame, verify: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame, out: str | None = None, min_bytes: int = 0) -> DataFrame:
     return read_archives(write_archives(pages, out or scratch(pages.sparkSession, "warc"), min_bytes))
+
+
+#: Base 32 takes five bits a letter, so four letters of each five hexadecimal digits.
+ORACLE = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), t AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM p
+)
+SELECT page_id, payload_bytes,
+       (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT), 1), '' ORDER BY i) FROM range(32) r(i)) AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM t
+"""
